@@ -1,5 +1,10 @@
 """BPE encoding and decoding over a table of distinct words.
 
+Documents are dealt into blocks. Each block's distinct words go to the shards
+of one distinct-word table, where every word is encoded once; the ids come back
+to the block and are put in the places of the words. The pieces of the ids that
+a block has come from a join with the vocabulary.
+
 Serves tokenizer files whose pre-tokens are encoded independently of each other
 (a normaliser, a splitting pattern, byte-level pieces, no post-processor).
 """
@@ -7,11 +12,22 @@ Serves tokenizer files whose pre-tokens are encoded independently of each other
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import unicodedata
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .blocks import BLOCK_BYTES, count_blocks, dealt, unpacked
+
 #: Code points below this one need no Unicode normalisation, their classes never change, and but for U+0130 lower case stays below.
 PLAIN = 0x180
 
@@ -64,3 +80,113 @@ class Words:
 def words_of(path: str) -> Words:
     """One per process and file."""
     return Words(path)
+
+
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def block_words(dealt_docs: DataFrame, tokenizer: str, shards: int) -> DataFrame:
+    """(block, shard, words): the distinct words of each block by shard, sorted, each once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words: set[str] = set()
+        split = words_of(tokenizer).split
+        for raw in unpacked(table.column("packed")):
+            words.update(split(raw.decode()))
+        lists: dict[int, list[str]] = {}
+        for w in sorted(words):
+            lists.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
+        block = table.column("block")[0].as_py()
+        return pa.table({"block": pa.array([block] * len(lists), pa.int32()), "shard": pa.array(list(lists), pa.int32()), "words": pa.array([_zip("\n".join(x).encode()) for x in lists.values()], pa.binary())})
+
+    return dealt_docs.groupBy("block").applyInArrow(run, "block int, shard int, words binary")
+
+
+def encoded_words(lists: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
+    """(block, words, counts, ids, distinct): each list with its words' numbers of ids and ids. A shard's words are encoded once, whatever the number of lists they are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, now, known = words_of(tokenizer), None, {}
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for block, shard, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != now:
+                    now, known = shard, {}
+                own = _unzip(packed).decode().split("\n")
+                new = [w for w in own if w not in known]
+                known.update((w, np.array(x, dtype="<i4").tobytes()) for w, x in zip(new, words.encode(new)))
+                ids = [known[w] for w in own]
+                counts = np.fromiter((len(x) // 4 for x in ids), dtype="<u4", count=len(ids))
+                ids = np.frombuffer(b"".join(ids), dtype="<i4")
+                for column, value in zip(out, (block, packed, _zip(counts.tobytes()), _zip(ids.tobytes()), np.unique(ids))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())))], names=["block", "words", "counts", "ids", "distinct"])
+
+    by_shard = lists.repartition(partitions, "shard").sortWithinPartitions("shard")
+    return by_shard.select("block", "shard", "words").mapInArrow(run, "block int, words binary, counts binary, ids binary, distinct array<int>")
+
+
+def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """(id, piece) of the tokenizer file: as many rows as its vocabulary, whatever the data."""
+    return spark.createDataFrame(sorted(words_of(tokenizer).pieces.items()), "id int, piece string")
+
+
+def pieces_by_block(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(block, pieces): the pieces of the ids that each block has, by a join on the id."""
+    ids = encoded.select("block", F.explode("distinct").alias("id")).distinct()
+    return ids.join(F.broadcast(vocab), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: key, ids (array<int>), decoded.
+
+    ids are those of the tokenizers library without special tokens added (their
+    strings in a text become special tokens, as there); decoded is the text of
+    its decode() of these ids. Null and empty texts: no ids, empty text.
+    """
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = count_blocks(docs, text, block_bytes)
+    mine = dealt(docs, blocks, str.encode, key, text)
+    lists = block_words(mine, tokenizer, max(12, 4 * math.isqrt(blocks)))
+    encoded = encoded_words(lists, tokenizer, partitions).repartition(partitions, "block")
+    pieces = pieces_by_block(encoded, vocabulary(spark, tokenizer))
+    none = F.lit(None).cast("binary")
+    known = encoded.select("block", "words", "counts", "ids", F.lit(None).cast("array<struct<id:int,piece:string>>").alias("pieces")).unionByName(
+        pieces.select("block", none.alias("words"), none.alias("counts"), none.alias("ids"), "pieces")
+    )
+
+    def run(own: pa.Table, table: pa.Table) -> pa.Table:
+        piece: dict[int, str] = {}
+        for row in table.column("pieces").drop_null():
+            flat = row.values
+            piece.update(zip(flat.field("id").to_pylist(), flat.field("piece").to_pylist()))
+        ids_of: dict[str, bytes] = {}
+        text_of_word: dict[str, str] = {}
+        for packed, counts, ids in zip(*(table.column(c) for c in ("words", "counts", "ids"))):
+            if not packed.is_valid:
+                continue
+            stops = np.cumsum(np.frombuffer(_unzip(counts.as_py()), dtype="<u4")).tolist()
+            raw = _unzip(ids.as_py())
+            names = [piece[i] for i in np.frombuffer(raw, dtype="<i4").tolist()]
+            a = 0
+            for w, b in zip(_unzip(packed.as_py()).decode().split("\n"), stops):
+                ids_of[w], text_of_word[w] = raw[4 * a : 4 * b], " ".join(names[a:b])
+                a = b
+        split = words_of(tokenizer).split
+        parts, offsets, texts = [], [0], []
+        for raw in unpacked(own.column("packed")):
+            words = split(raw.decode())
+            parts.append(b"".join([ids_of[w] for w in words]))
+            offsets.append(offsets[-1] + len(parts[-1]) // 4)
+            texts.append(" ".join([text_of_word[w] for w in words]))
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+        return pa.table({"key": own.column("key"), "ids": ids, "decoded": pa.array(texts, pa.string())})
+
+    out = mine.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"key {dict(mine.dtypes)['key']}, ids array<int>, decoded string")
+    return out.withColumnRenamed("key", key)
