@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, simhash, url_filter, warc
+from . import bpe, exact_dedup, packing, quality, secret_scan, simhash, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,6 +35,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "at", "kind", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "probability", "is_secret")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_simhash, op5_quality, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_url_filter)
+    f.__name__: f for f in (op1_bpe, op2_simhash, op5_quality, op6_secret_scan, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
