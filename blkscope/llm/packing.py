@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe import words_of
 from .common import text_of, written
 
-#: Words that a task remembers the ids of; more are forgotten and encoded again.
+#: Words that a task remembers the ids of; beyond them it starts anew with the next document.
 REMEMBERED = 400_000
 
 
@@ -37,13 +37,14 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             out: list[list] = [[] for _ in range(6)]
             for at, text in enumerate(batch.column(1)):
                 own = words.split(text.as_py())
-                new = list({w for w in own if w not in ids})
-                if new:
-                    if len(ids) + len(new) > REMEMBERED:
+                found = list(map(ids.get, own))
+                if None in found:
+                    if len(ids) > REMEMBERED:
                         ids.clear()
-                        new = list(set(own))
+                    new = list({w for w in own if w not in ids})
                     ids.update((w, np.array(x, dtype="<u4").tobytes()) for w, x in zip(new, words.encode(new)))
-                packed = b"".join([ids[w] for w in own]) + end
+                    found = map(ids.__getitem__, own)
+                packed = b"".join(found) + end
                 for k, a in enumerate(range(0, len(packed), 4 * capacity)):
                     piece = packed[a : a + 4 * capacity]
                     n = len(piece) // 4
