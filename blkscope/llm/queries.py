@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, media, packing, quality, secret_scan, simhash, url_filter, warc
+from . import bpe, exact_dedup, media, packing, quality, secret_scan, simhash, substring, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=4, k=4)
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_simhash, op4_media, op5_quality, op6_secret_scan, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_url_filter)
+    f.__name__: f for f in (op1_bpe, op2_simhash, op3_substring, op4_media, op5_quality, op6_secret_scan, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_url_filter)
 }
 
 ORACLE_SQL: dict[str, str] = {
