@@ -62,14 +62,24 @@ class Words:
         # the same language as the pattern of the file for plain texts; no two branches start alike, so their order is free
         assert pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "another splitting pattern"
         self._plain = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^{white}{letters}{digits}]+").findall
-        self._beyond = re.compile(rf"[^\x00-\u012f\u0131-\u{PLAIN - 1:04x}]").search
+        self._beyond = re.compile(rf"[^\x00-\x1b\x20-\u012f\u0131-\u{PLAIN - 1:04x}]").search
+        # \x1c to \x1f part str.split() but not the pattern
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text in order; a special token's string is a word of its own."""
+    def units(self, text: str) -> list[str]:
+        """Parts of a text between which no word runs on: what white space parts if the text is plain, else its words, marked by a line end."""
         if self._special is None or not any(x in text for x in self.specials):
-            return self._part(text)
-        return [w for k, x in enumerate(self._special.split(text)) for w in ([x] if k % 2 else self._part(x))]
+            if self._beyond(text) is None:
+                return text.lower().split()
+            return ["\n" + w for w in self._part(text)]
+        return ["\n" + w for k, x in enumerate(self._special.split(text)) for w in ([x] if k % 2 else self._part(x))]
+
+    def words(self, unit: str) -> list[str]:
+        """The words of a unit in order; a special token's string is a word of its own."""
+        return [unit[1:]] if unit[0] == "\n" else self._plain(unit)
+
+    def split(self, text: str) -> list[str]:
+        return [w for x in self.units(text) for w in self.words(x)]
 
     def _part(self, text: str) -> list[str]:
         if self._beyond(text) is None:
@@ -113,10 +123,11 @@ def block_words(dealt_docs: DataFrame, tokenizer: str, shards: int) -> DataFrame
     """(block, shard, words): the distinct words of each block by shard, sorted, each once."""
 
     def run(table: pa.Table) -> pa.Table:
-        words: set[str] = set()
-        split = words_of(tokenizer).split
+        units: set[str] = set()
+        known = words_of(tokenizer)
         for raw in unpacked(table.column("packed")):
-            words.update(split(raw.decode()))
+            units.update(known.units(raw.decode()))
+        words = {w for x in units for w in known.words(x)}
         lists: dict[int, list[str]] = {}
         for w in sorted(words):
             lists.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
@@ -197,13 +208,19 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
             for w, b in zip(_unzip(packed.as_py()).decode().split("\n"), stops):
                 ids_of[w], text_of_word[w] = raw[4 * a : 4 * b], " ".join(names[a:b])
                 a = b
-        split = words_of(tokenizer).split
+        splitter = words_of(tokenizer)
+        unit_ids: dict[str, bytes] = {}
+        unit_text: dict[str, str] = {}
         parts, offsets, texts = [], [0], []
         for raw in unpacked(own.column("packed")):
-            words = split(raw.decode())
-            parts.append(b"".join([ids_of[w] for w in words]))
+            units = splitter.units(raw.decode())
+            for x in units:
+                if x not in unit_ids:
+                    words = splitter.words(x)
+                    unit_ids[x], unit_text[x] = b"".join([ids_of[w] for w in words]), " ".join([text_of_word[w] for w in words])
+            parts.append(b"".join(map(unit_ids.__getitem__, units)))
             offsets.append(offsets[-1] + len(parts[-1]) // 4)
-            texts.append(" ".join([text_of_word[w] for w in words]))
+            texts.append(" ".join(map(unit_text.__getitem__, units)))
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
         return pa.table({"key": own.column("key"), "ids": ids, "decoded": pa.array(texts, pa.string())})
 

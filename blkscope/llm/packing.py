@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe import words_of
 from .common import text_of, written
 
-#: Words that a task remembers the ids of; beyond them it starts anew with the next document.
+#: Parts of texts that a task remembers the ids of; beyond them it starts anew with the next document.
 REMEMBERED = 400_000
 
 
@@ -31,19 +31,22 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """(key, piece, start, length, ids_crc32, part, rank): rank counts the pieces of one length within a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ids = words_of(tokenizer), {}
+        splitter, ids, units = words_of(tokenizer), {}, {}
         part, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for at, text in enumerate(batch.column(1)):
-                own = words.split(text.as_py())
-                found = list(map(ids.get, own))
+                own = splitter.units(text.as_py())
+                found = list(map(units.get, own))
                 if None in found:
-                    if len(ids) > REMEMBERED:
+                    if len(units) > REMEMBERED:
                         ids.clear()
-                    new = list({w for w in own if w not in ids})
-                    ids.update((w, np.array(x, dtype="<u4").tobytes()) for w, x in zip(new, words.encode(new)))
-                    found = map(ids.__getitem__, own)
+                        units.clear()
+                    new = {x: splitter.words(x) for x in own if x not in units}
+                    words = list({w for x in new.values() for w in x if w not in ids})
+                    ids.update((w, np.array(x, dtype="<u4").tobytes()) for w, x in zip(words, splitter.encode(words)))
+                    units.update((x, b"".join([ids[w] for w in own])) for x, own in new.items())
+                    found = map(units.__getitem__, own)
                 packed = b"".join(found) + end
                 for k, a in enumerate(range(0, len(packed), 4 * capacity)):
                     piece = packed[a : a + 4 * capacity]
