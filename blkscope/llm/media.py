@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_of
 
 UNIT, PAD = 192, b" "
 RATE = 8000
@@ -27,9 +27,9 @@ RATE = 8000
 #: A cut needs MASK_BITS zero bits of the gear hash, which looks at as many bytes; chunks have these lengths at least and at most.
 MASK_BITS, SHORTEST, LONGEST = 13, 2048, 65536
 
-#: Texts of up to so many documents make the shared dictionary of the chunk store, so many bytes of it.
-SAMPLE_DOCS, DICTIONARY_BYTES = 64, 112 << 10
-LEVEL = 12
+#: Of at most so many documents, so many characters each, a dictionary of so many bytes at most is trained for the chunk store's compression.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 4000, 112 << 10
+LEVEL = 15
 
 
 def gear_table() -> np.ndarray:
@@ -91,15 +91,18 @@ def feature_of(payload: bytes) -> str:
     return f"n={len(x)};sum={int(x.sum())};sq={int((x * x).sum())};zc={crossings};min={int(x.min())};max={int(x.max())}"
 
 
-def dictionary_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> bytes:
-    """Bytes of at most SAMPLE_DOCS texts for the store's compression, at most DICTIONARY_BYTES: those with the least digests, so the same ones each time."""
-    each = DICTIONARY_BYTES // SAMPLE_DOCS
-    rows = docs.select(F.sha2(text_of(text), 256).alias("h"), F.substring(text_of(text), 1, each).alias("t")).orderBy("h").limit(SAMPLE_DOCS).collect()
-    return "\n".join(r["t"] for r in rows).encode()[:DICTIONARY_BYTES]
+def dictionary_of(docs: DataFrame, text: str = "text") -> bytes:
+    """A Zstandard dictionary from the texts with the least digests, so from the same ones each time; plain text if they are too few to train on."""
+    rows = docs.select(F.sha2(text_of(text), 256).alias("h"), F.substring(text_of(text), 1, SAMPLE_CHARS).alias("t")).orderBy("h").limit(SAMPLE_DOCS).collect()
+    samples = [r["t"].encode() for r in rows if r["t"]]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[:DICTIONARY_BYTES]
 
 
 def _dict(raw: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 8 else None
+    return zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
 def with_payload(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,12 +192,12 @@ def features(media: DataFrame) -> DataFrame:
             for name, x in zip(batch.column(0), batch.column(1)):
                 file = x.as_py()
                 data = samples(file)
-                rows.append((name.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature_of(data)))
+                rows.append((name.as_py(), len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).digest(), feature_of(data)))
             columns = zip(*rows) if rows else [[]] * 7
-            types = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            types = (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "payload binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +207,8 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     different payload is put together and decoded once, however many rows have
     it; copies get its values by a join on its digest.
     """
-    dictionary = dictionary_of(docs, key, text)
-    asked = recipes(docs, text)
-    found = written(features(reconstructed(asked, chunk_store(docs, dictionary, text), dictionary)), "media-features")
-    return with_payload(docs, key, text).join(found, "payload").select(F.col("key").alias(key), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    dictionary = dictionary_of(docs, text)
+    found = features(reconstructed(recipes(docs, text), chunk_store(docs, dictionary, text), dictionary))
+    rows = with_payload(docs, key, text).join(found, "payload")
+    hexed = [F.lower(F.hex(c)).alias(c) for c in ("payload_sha256", "media_sha256")]
+    return rows.select(F.col("key").alias(key), "n_bytes", "payload_bytes", hexed[0], "tail_crc32", "media_bytes", hexed[1], "feature")
