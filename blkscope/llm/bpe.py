@@ -57,7 +57,8 @@ class Words:
         bare = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, byte_level]}}
         self._bare = Tokenizer.from_str(json.dumps(spec | bare))
         self.pieces = {i: w for w, i in self._full.get_vocab(with_added_tokens=True).items()}
-        self._last = frozenset(i for i, w in self.pieces.items() if w.endswith(spec["model"]["end_of_word_suffix"]))
+        self._last = np.zeros(max(self.pieces) + 1, dtype=bool)
+        self._last[[i for i, w in self.pieces.items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
         letters, digits, white = _char_class("L"), _char_class("N"), r"\t\n\x0b\x0c\r\x20\x85\xa0"
         # the same language as the pattern of the file for plain texts; no two branches start alike, so their order is free
         assert pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "another splitting pattern"
@@ -76,7 +77,13 @@ class Words:
 
     def words(self, unit: str) -> list[str]:
         """The words of a unit in order; a special token's string is a word of its own."""
-        return [unit[1:]] if unit[0] == "\n" else self._plain(unit)
+        if unit.isalpha():
+            return [unit]
+        if unit[0] == "\n":
+            return [unit[1:]]
+        if unit[:-1].isalpha() and not unit[-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self._plain(unit)
 
     def split(self, text: str) -> list[str]:
         return [w for x in self.units(text) for w in self.words(x)]
@@ -86,23 +93,22 @@ class Words:
             return self._plain(text.lower())
         return [w for w, _ in self._split.pre_tokenize_str(self._full.normalizer.normalize_str(text))]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word. Words go to the library some at a time; the id of a word's end says where the next one begins."""
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, four bytes each, least first. Words go to the library some at a time; the id of a word's end says where the next one begins."""
         plain = [w for w in words if w not in self.specials]
-        out: list[list[int]] = []
+        out: list[bytes] = []
         for e in self._bare.encode_batch_fast([" ".join(plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)], add_special_tokens=False):
-            own: list[int] = []
-            for i in e.ids:
-                own.append(i)
-                if i in self._last:
-                    out.append(own)
-                    own = []
+            ids = np.array(e.ids, dtype="<u4")
+            raw, a = ids.tobytes(), 0
+            for b in (4 * np.flatnonzero(self._last[ids]) + 4).tolist():
+                out.append(raw[a:b])
+                a = b
         if len(out) != len(plain):
             raise ValueError("a word without an end")
         if len(plain) == len(words):
             return out
         rest = iter(out)
-        return [[self.specials[w]] if w in self.specials else next(rest) for w in words]
+        return [np.array([self.specials[w]], dtype="<u4").tobytes() if w in self.specials else next(rest) for w in words]
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +155,7 @@ def encoded_words(lists: DataFrame, tokenizer: str, partitions: int) -> DataFram
                     now, known = shard, {}
                 own = _unzip(packed).decode().split("\n")
                 new = [w for w in own if w not in known]
-                known.update((w, np.array(x, dtype="<i4").tobytes()) for w, x in zip(new, words.encode(new)))
+                known.update(zip(new, words.encode(new)))
                 ids = [known[w] for w in own]
                 counts = np.fromiter((len(x) // 4 for x in ids), dtype="<u4", count=len(ids))
                 ids = np.frombuffer(b"".join(ids), dtype="<i4")

@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from .bpe import words_of
 from .common import text_of, written
 
-#: Parts of texts that a task remembers the ids of; beyond them it starts anew with the next document.
+#: Parts of texts that a task remembers the ids of; beyond them it starts anew with the next documents.
 REMEMBERED = 400_000
 
+#: Documents whose new words are encoded together.
+TOGETHER = 128
+
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(key, piece, start, length, ids_crc32, part, rank): rank counts the pieces of one length within a part."""
@@ -35,25 +38,23 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         part, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for at, text in enumerate(batch.column(1)):
-                own = splitter.units(text.as_py())
-                found = list(map(units.get, own))
-                if None in found:
-                    if len(units) > REMEMBERED:
-                        ids.clear()
-                        units.clear()
-                    new = {x: splitter.words(x) for x in own if x not in units}
-                    words = list({w for x in new.values() for w in x if w not in ids})
-                    ids.update((w, np.array(x, dtype="<u4").tobytes()) for w, x in zip(words, splitter.encode(words)))
-                    units.update((x, b"".join([ids[w] for w in own])) for x, own in new.items())
-                    found = map(units.__getitem__, own)
-                packed = b"".join(found) + end
-                for k, a in enumerate(range(0, len(packed), 4 * capacity)):
-                    piece = packed[a : a + 4 * capacity]
-                    n = len(piece) // 4
-                    for column, value in zip(out, (at, k, a // 4, n, zlib.crc32(piece), ranks[n])):
-                        column.append(value)
-                    ranks[n] += 1
+            for first in range(0, batch.num_rows, TOGETHER):
+                docs = [splitter.units(x.as_py()) for x in batch.column(1).slice(first, TOGETHER)]
+                if len(units) > REMEMBERED:
+                    ids.clear()
+                    units.clear()
+                new = {x: splitter.words(x) for own in docs for x in own if x not in units}
+                words = list({w for own in new.values() for w in own if w not in ids})
+                ids.update(zip(words, splitter.encode(words)))
+                units.update((x, b"".join([ids[w] for w in own])) for x, own in new.items())
+                for at, own in enumerate(docs, first):
+                    packed = b"".join(map(units.__getitem__, own)) + end
+                    for k, a in enumerate(range(0, len(packed), 4 * capacity)):
+                        piece = packed[a : a + 4 * capacity]
+                        n = len(piece) // 4
+                        for column, value in zip(out, (at, k, a // 4, n, zlib.crc32(piece), ranks[n])):
+                            column.append(value)
+                        ranks[n] += 1
             at, k, start, n, crc, rank = out
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(n), pa.int32()), pa.array(rank, pa.int64())],
