@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,24 @@ from pyspark.sql import functions as F
 from .bpe import words_of
 from .common import text_of, written
 
-#: Parts of texts that a task remembers the ids of; beyond them it starts anew with the next documents.
-REMEMBERED = 400_000
+#: Parts of texts that a worker remembers the ids of (some 0.3 KB each); beyond them it starts anew with the next documents.
+REMEMBERED = 1_000_000
 
 #: Documents whose new words are encoded together.
 TOGETHER = 128
 
 
+@lru_cache(maxsize=1)
+def _remembered(tokenizer: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Ids of words and of parts of texts; one of each for a worker process, over its tasks."""
+    return {}, {}
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(key, piece, start, length, ids_crc32, part, rank): rank counts the pieces of one length within a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, ids, units = words_of(tokenizer), {}, {}
+        splitter, (ids, units) = words_of(tokenizer), _remembered(tokenizer)
         part, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
@@ -43,8 +50,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                 if len(units) > REMEMBERED:
                     ids.clear()
                     units.clear()
-                new = {x: splitter.words(x) for own in docs for x in own if x not in units}
-                words = list({w for own in new.values() for w in own if w not in ids})
+                new = {x: splitter.words(x) for x in set().union(*docs).difference(units)}
+                words = list({w for own in new.values() for w in own}.difference(ids))
                 ids.update(zip(words, splitter.encode(words)))
                 units.update((x, b"".join([ids[w] for w in own])) for x, own in new.items())
                 for at, own in enumerate(docs, first):
