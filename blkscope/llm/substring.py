@@ -214,6 +214,11 @@ def _earlier(words: np.ndarray, key: int, h1: np.ndarray, h2: np.ndarray, first:
         row = np.where(same, row + 1, len(h1))
 
 
+def _shared(rows: DataFrame, *by: str) -> DataFrame:
+    """What different keys have, with the least key as first."""
+    return rows.groupBy(*by).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.max("block").alias("block")).filter("first < last AND block >= 0")
+
+
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: key, n_words, n_removed, kept (the words that stay, joined by one space).
 
@@ -233,12 +238,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     least = light.groupBy("name").agg(F.min("key").alias("least"))
     copies = light.join(least, "name").filter("key > least").select("block", "key", "name").repartition(partitions, "block")
 
-    anchors = anchors_of(mine, copies)
-    recurring = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("anchor")
-    asked = anchors.select("block", "anchor").join(recurring, "anchor").select("block", *_empty(anchors, key="long", name="binary"), "anchor")
-    windows = windows_of(mine, copies.select("block", "key", "name", *_empty(copies, anchor="long")).unionByName(asked))
-    first = windows.groupBy("h1", "h2").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("h1", "h2", F.col("low").alias("first"))
-    told = windows.select("block", "h1", "h2").join(first, ["h1", "h2"]).select("block", *_empty(first, key="long", name="binary"), "h1", "h2", "first")
+    # Both are dealt out once by what they are compared by. The sums and the joins back read the same exchange,
+    # which needs them to read the same columns: hence the block in the sums and the keys in the joins.
+    anchors = anchors_of(mine, copies).repartition(partitions, "anchor")
+    recurring = _shared(anchors, "anchor").select("anchor", "first")
+    asked = anchors.join(recurring, "anchor").filter("greatest(low, high) >= first").select("block", *_empty(anchors, key="long", name="binary"), "anchor")
+    windows = windows_of(mine, copies.select("block", "key", "name", *_empty(copies, anchor="long")).unionByName(asked)).repartition(partitions, "h1", "h2")
+    first = _shared(windows, "h1", "h2").select("h1", "h2", "first")
+    told = windows.join(first, ["h1", "h2"]).filter("greatest(low, high) > first").select("block", *_empty(first, key="long", name="binary"), "h1", "h2", "first")
     known = copies.select("block", "key", "name", *_empty(copies, h1="long", h2="long", first="long")).unionByName(told)
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
