@@ -93,7 +93,8 @@ def links(fps: DataFrame, k: int = 4) -> DataFrame:
             here = here & (differing(before) > 1)
         first = first | here
     met = (F.col("l.wild") == F.col("r.wild")) & (F.col("l.value") == F.col("r.value"))
-    return index.alias("l").join(index.alias("r"), met & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= k) & first).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    # the variants are many times what Spark takes their size for, so it must not choose to broadcast them
+    return index.alias("l").hint("merge").join(index.alias("r"), met & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= k) & first).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, k: int = 4) -> DataFrame:
