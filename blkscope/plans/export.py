@@ -65,3 +65,9 @@ def export_csv(df: DataFrame, kind: str, folder: str, base: str, r: Range | None
         out.append(target)
     fs.delete(path(staged), True)
     return out
+
+
+def report_csv(report: DataFrame, path: str) -> None:
+    """A table of statistics as shown: numbers to three decimals, maps left out, one file. For reports of a few rows per operation, not for traces."""
+    shown = [F.round(c, 3).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes if not t.startswith(("map", "array", "struct"))]
+    report.select(*shown).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

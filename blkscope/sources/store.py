@@ -15,14 +15,14 @@ FILE_ROWS = 4_000_000
 NAMES = {"ufscustom": "cus", "ufs": "ufs", "block": "block"}
 
 
-def save(df: DataFrame, folder: str, kind: str, mode: str = "append") -> None:
+def save(df: DataFrame, folder: str, kind: str, mode: str = "append", codec: str = "snappy") -> None:
     """df under folder/kind, a folder per trace, in order of time within files, so that ranges skip files and row groups."""
     if df.isEmpty():
         raise ValueError("a trace without rows is not saved")
     columns = [c.split()[0] for c in TABLES[kind].split(", ")]
     time_column = "start_time" if kind == "cus" else "time"
     rows = df.select(*columns).repartitionByRange("trace", time_column).sortWithinPartitions("trace", time_column, "seq")
-    rows.write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).option("partitionOverwriteMode", "dynamic").partitionBy("trace").parquet(f"{folder}/{kind}")
+    rows.write.mode(mode).option("compression", codec).option("maxRecordsPerFile", FILE_ROWS).option("partitionOverwriteMode", "dynamic").partitionBy("trace").parquet(f"{folder}/{kind}")
 
 
 def load(spark: SparkSession, folder: str, kind: str, traces: list[str] | None = None) -> DataFrame:

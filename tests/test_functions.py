@@ -8,6 +8,7 @@ from blkscope.operators import points as P
 from blkscope.operators import stats as S
 from blkscope.operators.filters import Range, apply_range, chart_rows, view_range
 from blkscope.operators.sample import sample_exact, sampling_info
+from blkscope.plans.export import report_csv
 from blkscope.plans.view import Session, save_arrow, to_arrow, with_counts
 from blkscope.schema import TABLES
 
@@ -71,6 +72,12 @@ def test_statistics(spark):
         assert made.count() == 0
 
 
+def test_report(spark, tmp_path):
+    report_csv(S.latency_summary(ufs(spark, ROWS), "ufs", "ctoc"), str(tmp_path / "r"))
+    (row,) = spark.read.option("header", True).csv(str(tmp_path / "r")).collect()
+    assert (row.key, row.n, row["avg"], "percentiles" in row) == ("0x28", "2", "500.025", False)
+
+
 def test_filters(spark):
     df = ufs(spark, ROWS)
 
