@@ -106,8 +106,10 @@ def missing_lines(found: DataFrame, most: int = 1000) -> DataFrame:
     The report is a list for people, hence its limit; missing_counts has the number.
     """
     w = Window.partitionBy("trace").orderBy("line_no")
-    first = found.filter(F.col("kind").isNull()).select("trace", "line_no", F.row_number().over(w).alias("n")).filter(F.col("n") <= most + 1)
-    return first.select("trace", F.when(F.col("n") <= most, F.col("line_no")).otherwise(0).alias("line_no"))
+    none = found.filter(F.col("kind").isNull()).select("trace", "line_no")
+    first = none.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("trace", "line_no")
+    more = missing_counts(found).filter(F.col("n") > most).select("trace", F.lit(0).cast("long").alias("line_no"))
+    return first.unionByName(more)
 
 
 def missing_counts(found: DataFrame) -> DataFrame:
