@@ -72,7 +72,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_simhash, op3_substring, op4_media, op5_quality, op6_secret_scan, op7_exact_dedup, op8_best_fit_packing, op9_warc, op10_url_filter)
 }
 
+_BITS = "string_agg(substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(h, CAST(i AS INTEGER), 1)) - 3, 4), '' ORDER BY i)"
+_BASE32 = "string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + " + " + ".join(f"{16 >> k} * CAST(substr(b, CAST(5 * i + {k + 1} AS INTEGER), 1) AS INTEGER)" for k in range(5)) + ", 1), '' ORDER BY i)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring": r"""
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        w AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS pos, len(words) AS n FROM d),
+        s AS (SELECT *, CASE WHEN pos <= n - 49 THEN string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) END AS s FROM w),
+        f AS (SELECT s, min(doc_id) AS first FROM s WHERE s IS NOT NULL GROUP BY s),
+        c AS (SELECT s.doc_id, pos, w, max(CASE WHEN first < s.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s LEFT JOIN f USING (s)),
+        k AS (SELECT doc_id, sum(gone) AS gone, string_agg(w, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op9_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+        b AS (SELECT h, {_BITS} AS b FROM (SELECT DISTINCT h FROM p), range(1, 41) t(i) GROUP BY h),
+        e AS (SELECT h, {_BASE32} AS digest FROM b, range(0, 32) t(i) GROUP BY h)
+        SELECT page_id, strlen(x) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to FROM p JOIN e USING (h)""",
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
         g AS (SELECT doc_id, x, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
