@@ -68,6 +68,8 @@ def _signed(mask: int) -> int:
 def links(fps: DataFrame, k: int = 4) -> DataFrame:
     """(a, b) for distinct fingerprints fp, a < b as signed longs, at 1 to k differing bits, each pair once.
 
+    With a column root: only pairs of different roots, and (a, b) are the roots.
+
     A pair meets under several variants; it is kept under the first one only:
     the first segment with at most one differing bit, with that bit wild, or the
     segment's first bit if none differs.
@@ -79,7 +81,9 @@ def links(fps: DataFrame, k: int = 4) -> DataFrame:
         for i in range(a, a + n):
             value = F.col("fp").bitwiseAND(F.lit(_signed(((1 << n) - 1) << a & ~(1 << i))))
             variants.append(F.struct(F.lit(i).cast("byte").alias("wild"), value.alias("value"), F.lit(s).cast("byte").alias("seg")))
-    index = fps.select("fp", F.explode(F.array(*variants)).alias("v")).select("fp", "v.wild", "v.value", "v.seg")
+    rooted = "root" in fps.columns
+    own_columns = ["fp", *(["root"] if rooted else [])]
+    index = fps.select(*own_columns, F.explode(F.array(*variants)).alias("v")).select(*own_columns, "v.wild", "v.value", "v.seg")
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
 
     def differing(s: int) -> Column:
@@ -93,8 +97,35 @@ def links(fps: DataFrame, k: int = 4) -> DataFrame:
             here = here & (differing(before) > 1)
         first = first | here
     met = (F.col("l.wild") == F.col("r.wild")) & (F.col("l.value") == F.col("r.value"))
+    if rooted:
+        met = met & (F.col("l.root") != F.col("r.root"))
+    name = "root" if rooted else "fp"
     # the variants are many times what Spark takes their size for, so it must not choose to broadcast them
-    return index.alias("l").hint("merge").join(index.alias("r"), met & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= k) & first).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
+    return index.alias("l").hint("merge").join(index.alias("r"), met & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= k) & first).select(F.col(f"l.{name}").alias("a"), F.col(f"r.{name}").alias("b"))
+
+
+def grouped(fps: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """(fp, root): equal roots for fingerprints that links of at most steps[-1] bits connect.
+
+    Steps are rising numbers of bits. Each one links only what the steps before
+    left in different groups, so that the pairs within a dense group, which
+    grow with its square, never leave the join.
+    """
+    now = fps.select("fp", F.col("fp").alias("root"))
+    for k in steps:
+        found = components(written(links(now, k).distinct(), "links")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        now = written(now.join(found, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")), "groups")
+    return now
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, steps: tuple[int, ...] = (2, 4, 6)) -> DataFrame:
+    """One row per row of docs: key, fingerprint, component_id as simhash_components has them for k = steps[-1], without counts of links."""
+    made = written(fingerprints(docs, key, text, shingle), "fingerprints")
+    nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    placed = grouped(nodes.select("fp"), steps).join(nodes, "fp")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    per_fp = placed.join(ids, "root").select("fp", "component_id")
+    return made.join(per_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, k: int = 4) -> DataFrame:

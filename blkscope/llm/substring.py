@@ -10,7 +10,6 @@ covered by a window that also starts in a document with a smaller key go.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 

@@ -55,6 +55,35 @@ def test_hard_rows_and_documents(hard, documents):
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows_of(df))
 
 
+@pytest.mark.parametrize("steps", [(6,), (2, 4, 6), (0, 3)])
+def test_steps_give_the_same_groups(spark, hard, documents, steps):
+    for df in (hard, documents):
+        got = S.near_groups(df, steps=steps)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows_of(df), 5, steps[-1])
+    assert S.near_groups(hard.limit(0)).count() == 0
+
+
+def test_steps_over_dense_groups(spark):
+    import random
+
+    rnd = random.Random(9)
+    fps = set()
+    for _ in range(6):
+        base = rnd.getrandbits(64)
+        bits = rnd.sample(range(64), 9)
+        for _ in range(60):
+            x = base
+            for b in rnd.sample(bits, rnd.randrange(0, 9)):
+                x ^= 1 << b
+            fps.add(x - (1 << 64) if x >> 63 else x)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for k in (1, 4, 6):
+        whole = {r.fp: r.root for r in S.grouped(df, (k,)).collect()}
+        for steps in ((1, k), (2, 4, k) if k > 4 else (0, k)):
+            parts = {r.fp: r.root for r in S.grouped(df, steps).collect()}
+            assert len({(whole[x], parts[x]) for x in fps}) == len(set(whole.values())) == len(set(parts.values()))
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 4, 7])
 def test_links_are_all_pairs_once(spark, k):
     import random
