@@ -19,6 +19,9 @@ from blkscope.llm.queries import TOKENIZER
 #: Words of a shingle and differing bits of near duplicates: 1 - 6 / 64 is a SimHash similarity of 0.9.
 SHINGLE, BITS = 5, 6
 
+#: Bits at which groups are formed before, so that a dense group's pairs are not linked over and over.
+STEPS = (2, 4, BITS)
+
 
 def _rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = ids.select(F.col("doc_id").alias("__id")).distinct()
@@ -37,7 +40,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest doc_id; a row without one stays if its group has none."""
-    found = simhash.simhash_components(docs, shingle=SHINGLE, k=BITS)
+    found = simhash.near_groups(docs, shingle=SHINGLE, steps=STEPS)
     return _rows_with(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
