@@ -173,8 +173,13 @@ def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
 
 
 def pieces_by_block(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(block, pieces): the pieces of the ids that each block has, by a join on the id."""
-    ids = encoded.select("block", F.explode("distinct").alias("id")).distinct()
+    """(block, pieces): the pieces of the ids that each block has, by a join on the id.
+
+    It reads all columns of encoded, as what puts the ids in their places does:
+    so both read one exchange, and words are encoded once.
+    """
+    whole = F.length("words") + F.length("counts") + F.length("ids") > 0
+    ids = encoded.select("block", F.explode(F.when(whole, F.col("distinct"))).alias("id")).distinct()
     return ids.join(F.broadcast(vocab), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
 
@@ -193,8 +198,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
     encoded = encoded_words(lists, tokenizer, partitions).repartition(partitions, "block")
     pieces = pieces_by_block(encoded, vocabulary(spark, tokenizer))
     none = F.lit(None).cast("binary")
-    known = encoded.select("block", "words", "counts", "ids", F.lit(None).cast("array<struct<id:int,piece:string>>").alias("pieces")).unionByName(
-        pieces.select("block", none.alias("words"), none.alias("counts"), none.alias("ids"), "pieces")
+    known = encoded.select("*", F.lit(None).cast("array<struct<id:int,piece:string>>").alias("pieces")).unionByName(
+        pieces.select("block", none.alias("words"), none.alias("counts"), none.alias("ids"), F.lit(None).cast("array<int>").alias("distinct"), "pieces")
     )
 
     def run(own: pa.Table, table: pa.Table) -> pa.Table:
