@@ -81,6 +81,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     made = written(recipes(docs, key, text, digest), "recipes")
     rows = made.groupBy("recipe", "key", "text_sha256").agg(F.count("*").alias("copies"))
     groups = rows.groupBy("recipe").agg(F.min("key").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = written(groups, "groups")  # so that both sides of the join are dealt out for it and a large group can be split
     return (
         rows.join(groups, "recipe")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import count_blocks, dealt, unpacked
-from .common import text_of
+from .common import text_of, written
 
 WINDOW, PHRASE = 50, 10
 BLOCK_BYTES = 8 << 20
@@ -234,7 +234,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     mine = dealt(own, blocks, str.encode, "key", "text", ("name",))
 
     light = own.select("key", "name", F.pmod(F.xxhash64(F.col("key").cast("string"), "text"), F.lit(blocks)).cast("int").alias("block"))
-    least = light.groupBy("name").agg(F.min("key").alias("least"))
+    least = written(light.groupBy("name").agg(F.min("key").alias("least")), "least")  # apart, so that the join can split a large group
     copies = light.join(least, "name").filter("key > least").select("block", "key", "name").repartition(partitions, "block")
 
     # Both are dealt out once by what they are compared by. The sums and the joins back read the same exchange,

@@ -219,7 +219,7 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     light = rows.filter((F.octet_length("payload") >= least_bytes) & F.col("id").isNotNull()).groupBy("digest", "id").agg(F.lit(1).alias("one"))
     light = written(light.select("digest", "id"), "payload-digests")
-    last = light.groupBy("digest").agg(F.max("id").alias("last"))
+    last = written(light.groupBy("digest").agg(F.max("id").alias("last")), "payload-last")  # apart, so that the join can split a large group
     answers = light.join(last, "digest").filter("id < last").select("id", "digest", F.col("last").alias("refers_to"))
     return rows.join(answers, ["id", "digest"], "left").select("id", "url", "payload", "refers_to")
 
