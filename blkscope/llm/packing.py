@@ -25,7 +25,7 @@ from .bpe import words_of
 from .common import text_of, written
 
 #: Parts of texts that a worker remembers the ids of (some 0.3 KB each); beyond them it starts anew with the next documents.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 #: Documents whose new words are encoded together.
 TOGETHER = 128
