@@ -4,6 +4,9 @@ Fingerprints that differ in at most k bits are cut into k // 2 + 1 segments, of
 which one then differs in at most one bit. Every fingerprint is indexed under
 each segment with each of its bits in turn wild; an equality join on these
 variants finds all links, and the exact distance confirms them.
+
+Texts of a high Jaccard similarity often differ in more bits than that. near_groups
+finds them by their shingles, with none left out: see shared_sets.
 """
 
 from __future__ import annotations
@@ -22,18 +25,23 @@ from .components import components
 BITS, SEED = 64, 42
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Bit set if it is set in over half of the shingles' XXH64; no words: zero."""
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """The XXH64 of each run of shingle words, or of all words if they are fewer; no words: none."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit set if it is set in over half of the hashes; without any: zero."""
+    n = len(hashes)
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -42,6 +50,11 @@ def fingerprint(text: str, shingle: int) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    """The majority of the shingles' hashes; no words: zero."""
+    return majority(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """(key, fp): the fingerprint as a signed long. Null text counts as empty."""
 
@@ -104,6 +117,12 @@ def links(fps: DataFrame, k: int = 4) -> DataFrame:
     return index.alias("l").hint("merge").join(index.alias("r"), met & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= k) & first).select(F.col(f"l.{name}").alias("a"), F.col(f"r.{name}").alias("b"))
 
 
+def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root) of now once edges (a, b) between its roots are followed."""
+    found = components(written(edges.distinct(), "links")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return written(now.join(found, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")), "groups")
+
+
 def grouped(fps: DataFrame, steps: tuple[int, ...]) -> DataFrame:
     """(fp, root): equal roots for fingerprints that links of at most steps[-1] bits connect.
 
@@ -113,16 +132,95 @@ def grouped(fps: DataFrame, steps: tuple[int, ...]) -> DataFrame:
     """
     now = fps.select("fp", F.col("fp").alias("root"))
     for k in steps:
-        found = components(written(links(now, k).distinct(), "links")).select(F.col("node").alias("old"), F.col("root").alias("new"))
-        now = written(now.join(found, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")), "groups")
+        now = _merged(now, links(now, k))
     return now
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, steps: tuple[int, ...] = (2, 4, 6)) -> DataFrame:
-    """One row per row of docs: key, fingerprint, component_id as simhash_components has them for k = steps[-1], without counts of links."""
-    made = written(fingerprints(docs, key, text, shingle), "fingerprints")
+def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(key, fp, n, grams): the fingerprint, and the n different shingles' hashes in order, as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                hashes = [shingles(x.as_py(), shingle) for x in part.column(1)]
+                fps = np.fromiter((majority(h) for h in hashes), dtype=np.uint64, count=len(hashes))
+                sets = [np.unique(h.view(np.int64)) for h in hashes]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array(np.diff(ends)), grams], names=["key", "fp", "n", "grams"])
+
+    pairs = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
+    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, fp long, n int, grams array<long>")
+
+
+def _head(jaccard: float) -> Column:
+    """How many of a set's n members, the first in any order that all sets share, hold one that each similar set has among its own first."""
+    return F.col("n") - F.ceil(F.col("n") * jaccard - 1e-9).cast("int") + 1
+
+
+def shared_sets(sets: DataFrame, jaccard: float) -> DataFrame:
+    """(doc, fp, n, posted, grams) for the sets of (doc, fp, n, grams) that can be similar to another; of equal sets one.
+
+    First those stay that have a member of their head, by hash, in common with
+    another head; then those of whose members a share of jaccard is in other
+    sets too. Both hold for all similar pairs. grams are then only the members
+    that others have, posted those of the head by rarity, so that what is in
+    many texts is compared only where there is little else.
+    """
+    one = sets.filter("n > 0").groupBy("fp", F.xxhash64("grams").alias("h")).agg(F.min("doc").alias("doc")).select("doc")
+    own = sets.join(one, "doc", "left_semi")
+    first = written(own.select("doc", F.explode(F.slice("grams", F.lit(1), _head(jaccard))).alias("gram")), "heads")
+    common = first.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
+    live = written(first.join(common.hint("merge"), "gram", "left_semi").select("doc").distinct(), "live")
+    every = written(sets.join(live, "doc", "left_semi").select("doc", "fp", "n", F.explode("grams").alias("gram")), "members")
+    often = every.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = every.join(often.hint("merge"), "gram").groupBy("doc", "fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
+    alone = F.col("n") - F.size("ranked")
+    kept = ranked.filter(alone < _head(jaccard)).withColumn("grams", F.col("ranked.gram"))
+    return written(kept.select("doc", "fp", "n", F.slice("grams", F.lit(1), _head(jaccard) - alone).alias("posted"), "grams"), "shared")
+
+
+def similar_links(shared: DataFrame, groups: DataFrame, jaccard: float, star: bool = False) -> DataFrame:
+    """(a, b): roots of groups (fp, root) that two sets of exact Jaccard similarity jaccard or more connect.
+
+    star: only pairs with the smallest set that posts the same member, which
+    joins most of a dense group without all of its pairs.
+    """
+    own = shared.join(groups, "fp").select("doc", "n", "root", F.explode("posted").alias("gram"))
+    if star:
+        least = own.groupBy("gram").agg(F.min(F.struct("n", "doc", "root")).alias("r")).select("gram", F.col("r.n").alias("rn"), F.col("r.doc").alias("rdoc"), F.col("r.root").alias("rroot"))
+        met = own.join(least.hint("merge"), "gram").filter("root != rroot")
+    else:
+        mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
+        own = own.join(mixed.hint("merge"), "gram", "left_semi").select("doc", "n", "root", "gram")
+        other = own.toDF("rdoc", "rn", "rroot", "rgram")
+        met = own.hint("merge").join(other, (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9))
+    pairs = met.select("doc", "n", "root", "rdoc", "rn", "rroot").distinct()
+    grams = shared.select("doc", "grams")
+    both = pairs.join(grams.hint("merge"), "doc").join(grams.select(F.col("doc").alias("rdoc"), F.col("grams").alias("rgrams")).hint("merge"), "rdoc")
+    inter = F.size(F.array_intersect("grams", "rgrams"))
+    return both.filter(inter / (F.col("n") + F.col("rn") - inter) >= jaccard).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, steps: tuple[int, ...] = (2, 4, 6), jaccard: float | None = None) -> DataFrame:
+    """One row per row of docs: key, fingerprint, component_id as simhash_components has them for k = steps[-1], without counts of links.
+
+    With jaccard: texts whose sets of shingles have that exact Jaccard
+    similarity are linked too, however far apart their fingerprints are.
+    """
+    if jaccard is None:
+        made = written(fingerprints(docs, key, text, shingle), "fingerprints")
+    else:
+        sets = written(shingle_sets(docs, key, text, shingle).withColumn("doc", F.monotonically_increasing_id()), "sets")
+        made = sets.select("key", "fp")
     nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    placed = grouped(nodes.select("fp"), steps).join(nodes, "fp")
+    now = grouped(nodes.select("fp"), steps)
+    if jaccard is not None:
+        shared = shared_sets(sets, jaccard)
+        for star in (True, False):
+            now = _merged(now, similar_links(shared, now, jaccard, star))
+    placed = now.join(nodes, "fp")
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     per_fp = placed.join(ids, "root").select("fp", "component_id")
     return made.join(per_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -22,6 +22,9 @@ SHINGLE, BITS = 5, 6
 #: Bits at which groups are formed before, so that a dense group's pairs are not linked over and over.
 STEPS = (2, 4, BITS)
 
+#: Exact Jaccard similarity of the sets of shingles from which texts are near duplicates at any number of bits.
+JACCARD = 0.8
+
 
 def _rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = ids.select(F.col("doc_id").alias("__id")).distinct()
@@ -39,8 +42,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id; a row without one stays if its group has none."""
-    found = simhash.near_groups(docs, shingle=SHINGLE, steps=STEPS)
+    """Of each group of linked fingerprints and similar texts the document with the smallest doc_id; a row without one stays if its group has none."""
+    found = simhash.near_groups(docs, shingle=SHINGLE, steps=STEPS, jaccard=JACCARD)
     return _rows_with(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
