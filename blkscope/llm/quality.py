@@ -150,8 +150,8 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def with_trusted(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with a column __trusted: labelled of good quality and not of bad quality. The keys are broadcast up to BROADCAST_ROWS of them."""
-    ids = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min("quality").alias("q")).filter("q >= 1").select("__id", F.lit(True).alias("__trusted"))
+    """docs with a column __trusted: labelled of good quality and never of bad quality or toxic. The keys are broadcast up to BROADCAST_ROWS of them."""
+    ids = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q >= 1 AND coalesce(t, 0) < 1").select("__id", F.lit(True).alias("__trusted"))
     ids = written(ids, "trusted")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     return docs.join(side, F.col(key) == F.col("__id"), "left").drop("__id")
