@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +15,28 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster
+    that would be one that executors can't see, so it is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share; it is unset and the master is {master}")
         base = tempfile.mkdtemp(prefix="blkscope-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +46,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the intermediate tables that were written inside it, but for the paths put into the list."""
+    first, keep = len(_written), []
+    yield keep
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in _written[first:]:
+        if p not in keep:
+            path = path_of(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[first:] = keep
+
+
+def sealed(df: DataFrame, name: str, keep: list[str]) -> DataFrame:
+    """written, and kept by the scratch whose list this is."""
+    out = written(df, name)
+    keep.append(_written[-1])
+    return out
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to differ from all columns of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str) -> Column:
     """The column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

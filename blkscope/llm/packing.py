@@ -24,38 +24,54 @@ from pyspark.sql import functions as F
 from .bpe import words_of
 from .common import text_of, written
 
-#: Parts of texts that a worker remembers the ids of (some 0.3 KB each); beyond them it starts anew with the next documents.
-REMEMBERED = 300_000
+#: Parts of texts that a worker remembers the ids of (some 0.3 KB each). Beyond them it forgets those that it met only once.
+REMEMBERED = 400_000
 
 #: Documents whose new words are encoded together.
 TOGETHER = 128
 
 
+class Memory:
+    """Ids of parts of texts. What did not come again since it last grew full is forgotten then, so that frequent parts are encoded once however much text there is."""
+
+    def __init__(self, tokenizer: str, most: int = REMEMBERED) -> None:
+        self.words, self.most = words_of(tokenizer), most
+        self.ids: dict[str, bytes] = {}
+        self.again: set[str] = set()
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each, least first."""
+        docs = [self.words.units(x) for x in texts]
+        parts = set().union(*docs)
+        new = parts.difference(self.ids)
+        if len(self.ids) + len(new) > self.most:
+            kept = self.again | parts
+            self.ids = {x: self.ids[x] for x in (kept if len(kept) <= self.most // 2 else parts) if x in self.ids}
+            self.again = set()
+        split = {x: self.words.words(x) for x in new}
+        distinct = list({w for own in split.values() for w in own})
+        of = dict(zip(distinct, self.words.encode(distinct)))
+        self.ids.update((x, b"".join([of[w] for w in own])) for x, own in split.items())
+        self.again |= parts - new
+        return [b"".join(map(self.ids.__getitem__, own)) for own in docs]
+
+
 @lru_cache(maxsize=1)
-def _remembered(tokenizer: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    """Ids of words and of parts of texts; one of each for a worker process, over its tasks."""
-    return {}, {}
+def memory_of(tokenizer: str) -> Memory:
+    """One for a worker process, over its tasks."""
+    return Memory(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(key, piece, start, length, ids_crc32, part, rank): rank counts the pieces of one length within a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, (ids, units) = words_of(tokenizer), _remembered(tokenizer)
-        part, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
+        memory, part, ranks, end = memory_of(tokenizer), TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for first in range(0, batch.num_rows, TOGETHER):
-                docs = [splitter.units(x.as_py()) for x in batch.column(1).slice(first, TOGETHER)]
-                if len(units) > REMEMBERED:
-                    ids.clear()
-                    units.clear()
-                new = {x: splitter.words(x) for x in set().union(*docs).difference(units)}
-                words = list({w for own in new.values() for w in own}.difference(ids))
-                ids.update(zip(words, splitter.encode(words)))
-                units.update((x, b"".join([ids[w] for w in own])) for x, own in new.items())
-                for at, own in enumerate(docs, first):
-                    packed = b"".join(map(units.__getitem__, own)) + end
+                for at, ids in enumerate(memory.packed(batch.column(1).slice(first, TOGETHER).to_pylist()), first):
+                    packed = ids + end
                     for k, a in enumerate(range(0, len(packed), 4 * capacity)):
                         piece = packed[a : a + 4 * capacity]
                         n = len(piece) // 4
@@ -154,7 +170,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     where = places(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = made.join(offsets, ["length", "part"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    # the offsets have a row for each length and task, so they are never broadcast
+    ranked = made.join(offsets.hint("merge"), ["length", "part"]).select("key", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

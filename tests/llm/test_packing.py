@@ -77,3 +77,11 @@ def test_words_are_the_librarys_words():
     same()
     for text in ("a<|endoftext|>b", "<|startoftext|><|endoftext|>", "x'll İ"):
         assert ids_of(words, text) == full.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_forgets_and_still_encodes(documents):
+    texts = [r.text or "" for r in documents.limit(150).collect()]
+    whole = K.Memory(PATH, 1 << 30).packed(texts)
+    small = K.Memory(PATH, 500)
+    assert [x for k in range(0, len(texts), 7) for x in small.packed(texts[k : k + 7])] == whole
+    assert len(small.again) < 10_000 and K.memory_of(PATH) is K.memory_of(PATH)
