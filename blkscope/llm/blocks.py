@@ -1,7 +1,7 @@
 """Documents dealt into blocks of bounded size, so that what a block's texts share is looked up once for the block.
 
 A block is named by a hash of key and text. It holds about block_bytes of text
-whatever the size of the input; the number of blocks follows the input.
+at most on average, whatever the size of the input; the number of blocks follows the input.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ BLOCK_BYTES = 16 << 20
 
 
 def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """From the bytes of all texts; one pass over them in the JVM."""
-    return blocks_for(docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0], block_bytes)
+    """From the bytes of all texts, by one pass over them in the JVM; as many as there are shuffle partitions at least, so that all of these have work."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, blocks_for(docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0], block_bytes))
 
 
 def dealt(docs: DataFrame, blocks: int, pack: Callable[[str], bytes], key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:

@@ -2,16 +2,21 @@
 
 Of each window of WINDOW words the phrase of PHRASE words with the least hash is
 its anchor; equal windows have equal anchors. Anchors that stand in different
-documents are recurring phrases. Every block of documents compiles those of its
-own into an automaton and streams its documents through it; the windows whose
-anchor it locates are compared over all blocks by two 64-bit hashes, and words
-covered by a window that also starts in a document with a smaller key go.
+documents are recurring phrases, confirmed over all documents by a shuffle. They
+are dealt to the shards, one for each block of documents, that hold texts with
+them; a shard compiles its phrases into one automaton of words and streams all
+its documents through it. Windows whose anchor it locates are compared over all
+shards by a 128-bit BLAKE2 digest of their words, and words covered by a window
+that also starts in a document with a smaller key go. The quick hashes of words
+only choose what is looked at; equality is that of the words themselves to the
+automaton, and of their digests between shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import ahocorasick
 import numpy as np
@@ -27,8 +32,8 @@ BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
 U = np.uint64
 
-#: Odd multipliers: of bytes within a word, of words within a phrase, and two of words within a window.
-BYTE, GRAM, FIRST, SECOND = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
+#: Odd multipliers: of bytes within a word, of words within a phrase, and of words within a window.
+BYTE, GRAM, ROLL = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -152,65 +157,82 @@ def anchors_of(docs: DataFrame, copies: DataFrame) -> DataFrame:
     return docs.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(run, "block int, anchor long, low long, high long")
 
 
-def located(words: np.ndarray, automaton: ahocorasick.Automaton) -> np.ndarray:
-    """Which phrases of a document the automaton locates, by their place."""
-    out = np.zeros(max(0, len(words) - PHRASE + 1), dtype=bool)
+def automaton_of(phrases_: set[tuple[int, ...]]) -> ahocorasick.Automaton:
+    """The automaton of phrases, each a sequence of word numbers."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for x in phrases_:
+        automaton.add_word(x, 1)
+    if phrases_:
+        automaton.make_automaton()
+    return automaton
+
+
+def located(numbers: list[int], automaton: ahocorasick.Automaton) -> np.ndarray:
+    """At which words of a document, given by their numbers, a phrase of the automaton begins."""
+    out = np.zeros(max(0, len(numbers) - PHRASE + 1), dtype=bool)
     if len(automaton) and len(out):
-        ends = [end for end, _ in automaton.iter(tuple((words & U(0x7FFFFFFF)).tolist()))]
+        ends = [end for end, _ in automaton.iter(tuple(numbers))]
         out[np.array(ends, dtype=np.int64) - PHRASE + 1] = True
     return out
 
 
+def digests(words: list[bytes], at: np.ndarray) -> list[bytes]:
+    """The digest of the words of each window that begins at one of the places."""
+    joined = b" ".join(words)
+    starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)))
+    stops = starts[at + WINDOW] - 1
+    return [blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(starts[at].tolist(), stops.tolist())]
+
+
 def windows_of(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(block, h1, h2, low, high): windows whose anchor is recurring, as located by the automaton of the block's recurring phrases."""
+    """(block, w, h1, h2, low, high): windows whose anchor the shard's automaton of recurring phrases locates, with their quick hash and their digest in two halves."""
 
     def run(own: pa.Table, table: pa.Table) -> pa.Table:
         skip, recurring = _copies(table), np.sort(_array(table, "anchor"))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        number: dict[bytes, int] = {}
+        confirmed: set[tuple[int, ...]] = set()
         held = []
         for key, name, raw in _rows(own) if len(recurring) else ():
             if key is None or (key, name) in skip:
                 continue
-            words = word_hashes(raw)
-            grams, place = phrases(words)
+            hashes = word_hashes(raw)
+            if len(hashes) < WINDOW:
+                continue
+            numbers = [number.setdefault(w, len(number)) for w in raw.split()]
+            grams, place = phrases(hashes)
             at = np.unique(place)
             at = at[recurring[np.minimum(np.searchsorted(recurring, grams[at]), len(recurring) - 1)] == grams[at]]
-            if len(at):
-                held.append((key, words, place))
-                folded = words & U(0x7FFFFFFF)
-                for a in at.tolist():
-                    automaton.add_word(tuple(folded[a : a + PHRASE].tolist()), 1)
-        if len(automaton):
-            automaton.make_automaton()
-        parts: list[list[np.ndarray]] = [[np.empty(0, dtype=U)], [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)]]
-        for key, words, place in held:
-            at = np.flatnonzero(located(words, automaton)[place])
-            for part, values in zip(parts, (_runs(words, WINDOW, FIRST)[at], _runs(words, WINDOW, SECOND)[at], np.full(len(at), key, dtype=np.int64))):
-                part.append(values)
-        (h1, h2), low, high = _grouped([np.concatenate(parts[0]), np.concatenate(parts[1])], np.concatenate(parts[2]))
+            confirmed.update(tuple(numbers[a : a + PHRASE]) for a in at.tolist())
+            held.append((key, raw, numbers))
+        automaton = automaton_of(confirmed)
+        parts: list[list[np.ndarray]] = [[np.empty(0, dtype=U)], [np.empty((0, 2), dtype=U)], [np.empty(0, dtype=np.int64)]]
+        for key, raw, numbers in held:
+            found = located(numbers, automaton)
+            if not found.any():
+                continue
+            hashes = word_hashes(raw)
+            at = np.flatnonzero(found[phrases(hashes)[1]])
+            parts[0].append(_runs(hashes, WINDOW, ROLL)[at])
+            parts[1].append(np.frombuffer(b"".join(digests(raw.split(), at)), dtype="<u8").reshape(-1, 2))
+            parts[2].append(np.full(len(at), key, dtype=np.int64))
+        halves = np.concatenate(parts[1])
+        (h1, h2, w), low, high = _grouped([halves[:, 0], halves[:, 1], np.concatenate(parts[0])], np.concatenate(parts[2]))
         block = own.column("block")[0].as_py() if own.num_rows else table.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(h1), block, dtype=np.int32)), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "low": pa.array(low), "high": pa.array(high)})
+        columns = {"block": pa.array(np.full(len(h1), block, dtype=np.int32)), **{n: pa.array(np.ascontiguousarray(x).view(np.int64)) for n, x in (("w", w), ("h1", h1), ("h2", h2))}}
+        return pa.table(columns | {"low": pa.array(low), "high": pa.array(high)})
 
-    return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "block int, h1 long, h2 long, low long, high long")
+    return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "block int, w long, h1 long, h2 long, low long, high long")
 
 
-def _earlier(words: np.ndarray, key: int, h1: np.ndarray, h2: np.ndarray, first: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Starts of windows that stand in the table (sorted by h1, h2) with a smaller key."""
-    mine = _runs(words, WINDOW, FIRST)
+def _earlier(raw: bytes, key: int, quick: np.ndarray, marks: np.ndarray, first: dict[bytes, int]) -> np.ndarray:
+    """Starts of windows that stand in the table of digests with a smaller key; quick are the table's quick hashes in order."""
+    mine = _runs(word_hashes(raw), WINDOW, ROLL)
     at = np.flatnonzero(marks[(mine & U(len(marks) - 1)).astype(np.int64)])
+    if len(at):
+        at = at[quick[np.minimum(np.searchsorted(quick, mine[at]), len(quick) - 1)] == mine[at]]
     if not len(at):
         return at
-    mine, other = mine[at], _runs(words, WINDOW, SECOND)[at]
-    row = np.searchsorted(h1, mine)
-    out = np.zeros(len(at), dtype=bool)
-    while True:  # rows with the same h1 stand side by side; one round unless two windows share it
-        inside = row < len(h1)
-        same = inside & (h1[np.minimum(row, len(h1) - 1)] == mine)
-        if not same.any():
-            return at[out]
-        safe = np.minimum(row, len(h1) - 1)
-        out |= same & (h2[safe] == other) & (first[safe] < key)
-        row = np.where(same, row + 1, len(h1))
+    return at[[first.get(x, key) < key for x in digests(raw.split(), at)]]
 
 
 def _shared(rows: DataFrame, *by: str) -> DataFrame:
@@ -225,8 +247,12 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     none. Texts of fewer than WINDOW words stay whole. A row with a null key
     neither loses words nor makes others lose any; nor do rows with the same
     key to each other. Of equal texts only the one with the smallest key is
-    searched, the others have no word left (or, if short, all).
+    searched, the others have no word left (or, if short, all). No rows: no
+    rows. Other columns are ignored. Keys are whole numbers; others are a
+    ValueError.
     """
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must hold whole numbers, not {dict(docs.dtypes)[key]}")
     blocks = count_blocks(docs, text, block_bytes)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = F.substring(F.unhex(F.sha2(text_of(text), 256)), 1, 16)
@@ -244,16 +270,16 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     asked = anchors.join(recurring, "anchor").filter("greatest(low, high) >= first").select("block", *_empty(anchors, key="long", name="binary"), "anchor")
     windows = windows_of(mine, copies.select("block", "key", "name", *_empty(copies, anchor="long")).unionByName(asked)).repartition(partitions, "h1", "h2")
     first = _shared(windows, "h1", "h2").select("h1", "h2", "first")
-    told = windows.join(first, ["h1", "h2"]).filter("greatest(low, high) > first").select("block", *_empty(first, key="long", name="binary"), "h1", "h2", "first")
-    known = copies.select("block", "key", "name", *_empty(copies, h1="long", h2="long", first="long")).unionByName(told)
+    told = windows.join(first, ["h1", "h2"]).filter("greatest(low, high) > first").select("block", *_empty(first, key="long", name="binary"), "w", "h1", "h2", "first")
+    known = copies.select("block", "key", "name", *_empty(copies, w="long", h1="long", h2="long", first="long")).unionByName(told)
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         skip = _copies(known)
-        h1, h2, first = _array(known, "h1"), _array(known, "h2"), known.column("first").drop_null().to_numpy()
-        order = np.lexsort((h2, h1))
-        h1, h2, first = h1[order], h2[order], first[order]
-        marks = np.zeros(1 << max(10, (8 * len(h1)).bit_length()), dtype=bool)
-        marks[(h1 & U(len(marks) - 1)).astype(np.int64)] = True
+        h1, h2, quick = _array(known, "h1"), _array(known, "h2"), np.sort(_array(known, "w"))
+        raw_digests = np.stack((h1, h2), axis=1).tobytes()
+        first = {raw_digests[16 * k : 16 * k + 16]: x for k, x in enumerate(known.column("first").drop_null().to_pylist())}
+        marks = np.zeros(1 << max(10, (8 * len(quick)).bit_length()), dtype=bool)
+        marks[(quick & U(len(marks) - 1)).astype(np.int64)] = True
         keys, counts, removed, kept = [], [], [], []
         for key, name, raw in _rows(table):
             words = raw.split()
@@ -262,8 +288,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
             if (key, name) in skip:
                 gone = n if n >= WINDOW else 0
                 words = [] if gone else words
-            elif key is not None and n >= WINDOW and len(h1):
-                starts = _earlier(word_hashes(raw), key, h1, h2, first, marks)
+            elif key is not None and n >= WINDOW and len(quick):
+                starts = _earlier(raw, key, quick, marks, first)
                 if len(starts):
                     cover = np.zeros(n + 1, dtype=np.int64)
                     np.add.at(cover, starts, 1)

@@ -73,3 +73,40 @@ def test_word_hashes_do_not_depend_on_the_place(monkeypatch):
     assert (S.word_hashes(text.encode()) == whole).all()
     assert len(whole) == len(text.split()) and len(set(whole.tolist())) == 3
     assert S.word_hashes(b"") .size == S.word_hashes(b" \n").size == 0
+
+
+def thue_morse(n):
+    """Two words of 2 to the n letters whose weighed sums agree for any odd weight."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_quick_hashes_are_not_equal(spark):
+    a, b = thue_morse(10)
+    assert len(set(S.word_hashes(f"{a} {b}".encode()).tolist())) == 1
+    head, tail = " ".join(f"w{k}" for k in range(49)), " ".join(f"v{k}" for k in range(49))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{a} {tail}"), (4, f"{b} {tail}"), (5, f"{a} {tail}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute(rows) and [r[2] for r in result(df)] == [0, 0, 0, 0, 50]
+
+
+def test_only_the_automaton_locates(spark, monkeypatch):
+    import ahocorasick
+
+    rows = planted(1)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df) == brute(rows)
+
+    def run(confirmed):
+        return ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+
+    monkeypatch.setattr(S, "automaton_of", run)
+    short = [(i, n) for i, _, n, _ in result(df)]
+    assert short != [(i, n) for i, _, n, _ in brute(rows)]
+
+
+def test_keys_must_be_whole_numbers(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="whole numbers"):
+        S.substring_dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
