@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, text_of
@@ -24,12 +24,17 @@ def count_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_B
     return max(least, blocks_for(docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0], block_bytes))
 
 
+def block_of(key: str, text: str, blocks: int) -> Column:
+    """The block of a row, from its key and text."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), text_of(text)), F.lit(blocks)).cast("int")
+
+
 def dealt(docs: DataFrame, blocks: int, pack: Callable[[str], bytes], key: str = "doc_id", text: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """(block, key, more..., packed) with a block's rows in one partition; packed is pack(text), compressed.
 
     A plan that reads this twice shuffles it once: Spark reuses the exchange.
     """
-    rows = docs.select(F.pmod(F.xxhash64(F.col(key).cast("string"), text_of(text)), F.lit(blocks)).cast("int").alias("block"), F.col(key).alias("key"), *more, text_of(text).alias("text"))
+    rows = docs.select(block_of(key, text, blocks).alias("block"), F.col(key).alias("key"), *more, text_of(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import count_blocks, dealt, unpacked
+from .blocks import block_of, count_blocks, dealt, unpacked
 from .common import text_of, written
 
 WINDOW, PHRASE = 50, 10
@@ -259,7 +259,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     own = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"), name.alias("name"))
     mine = dealt(own, blocks, str.encode, "key", "text", ("name",))
 
-    light = own.select("key", "name", F.pmod(F.xxhash64(F.col("key").cast("string"), "text"), F.lit(blocks)).cast("int").alias("block"))
+    light = own.select("key", "name", block_of("key", "text", blocks).alias("block"))
     least = written(light.groupBy("name").agg(F.min("key").alias("least")), "least")  # apart, so that the join can split a large group
     copies = light.join(least, "name").filter("key > least").select("block", "key", "name").repartition(partitions, "block")
 
