@@ -45,8 +45,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.labelled_findings(spark))
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, *secret_scan.trained(docs))
     return found.select("doc_id", "at", "kind", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "probability", "is_secret")
 
 

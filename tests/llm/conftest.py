@@ -42,8 +42,10 @@ HARD = [
 @pytest.fixture(scope="session")
 def hard(spark):
     """HARD with extra columns whose names clash with ones that operators use inside."""
-    rows = [(i, t, "en", "src", len(t or ""), 1, "x", 2, 3.0) for i, t in HARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, piece int, length double")
+    clash = ["k", "s", "sha", "values", "id", "copy", "kept", "group_size", "no", "block", "name", "role", "__k", "__s", "__sha", "__values", "__id", "__trusted"]
+    rows = [(i, t, "en", "src", len(t or ""), 1, "x", 2, 3.0, *range(len(clash))) for i, t in HARD]
+    more = "".join(f", `{c}` int" for c in clash)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, piece int, length double" + more)
 
 
 @pytest.fixture(scope="session")
