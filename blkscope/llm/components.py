@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import written
 
 
 def _sum(edges: DataFrame) -> tuple[int, int]:
@@ -32,13 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     No edges: no rows. Loops and repeated edges count nothing. A round costs
     two shuffles of the edges that are left; rounds grow with the logarithm of
-    the longest path. Every round is checkpointed, so that lineage stays short.
+    the longest path. Every round is written to the shared folder, so that
+    lineage stays short and lost executors cost one round.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = written(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _sum(now)
     while seen[0]:
-        now = _small_star(_large_star(now)).checkpoint()
+        now = written(_small_star(_large_star(now)), "edges")
         if (then := _sum(now)) == seen:
             break
         seen = then

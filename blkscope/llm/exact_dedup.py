@@ -12,14 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import squeezed, written
+from .common import squeezed, unused, written
 
-#: A chunk ends after a sentence end once it is long enough, at the latest after the longest length.
+#: A chunk ends behind a sentence once it is long enough, or, where no sentence ends before the longest length, behind
+#: one of some letters that texts in most scripts have now and then. Only texts without either are cut by length.
 SHORTEST, LONGEST = 512, 4096
+SENTENCE = r"(?:[.!?] |[\n\u3002\uff01\uff1f])"
+LETTER = r"[Qqx7\u0436\u05d0\u0627\u7684\u306e\uac00]"
 
 
 def cut_pattern(shortest: int = SHORTEST, longest: int = LONGEST) -> str:
-    return rf"(?s).{{{shortest - 1},{longest - 1}}}?[.!?] |.{{1,{longest}}}"
+    return rf"(?s).{{{shortest - 1},{longest - 1}}}?{SENTENCE}|.{{{shortest - 1},{longest - 1}}}?{LETTER}|.{{1,{longest}}}"
 
 
 def chunks_of(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
@@ -96,8 +99,17 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops, with all columns."""
-    kept = exact_dedup(docs, key, text).filter("kept").select(F.col(key).alias("__k"), F.col("text_sha256").alias("__s"))
-    marked = docs.withColumn("__sha", F.sha2(squeezed(text), 256))
-    found = marked.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__sha") == F.col("__s")), "left_semi")
-    return found.dropDuplicates([key, "__sha"]).drop("__sha")
+    """docs without the rows that exact_dedup drops, with all columns; of rows that repeat key and normalised text any one.
+
+    Only keys and digests are grouped. Texts are read once more and taken out
+    by key and digest; those of a key and digest that stand in several rows,
+    of which one stays, are the only ones to move.
+    """
+    k, s, sha = unused(docs, "k", "s", "sha")
+    rows = exact_dedup(docs, key, text).groupBy(F.col(key).alias(k), F.col("text_sha256").alias(s)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rows = written(rows.filter("NOT kept OR n > 1"), "repeats")
+    marked = docs.withColumn(sha, F.sha2(squeezed(text), 256))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(sha) == F.col(s))
+    alone = marked.join(rows.select(k, s), same, "left_anti")
+    several = marked.join(rows.filter("kept").select(k, s), same, "left_semi").dropDuplicates([key, sha])
+    return alone.unionByName(several).drop(sha)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_of, count_blocks, dealt, unpacked
-from .common import written
+from .common import text_of, written
 
 #: Characters of an n-gram; what stands before and behind a text.
 ORDER = 4
@@ -235,7 +235,7 @@ def trusted_keys(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: key, lang, role, n_units, nll (sum of -log p); empty texts and those of white space only have 0 units.
+    """One row per row of docs: key, lang, sha (of its text), role, n_units, nll (sum of -log p); empty texts and those of white space only have 0 units.
 
     role is train or hold for trusted documents, else null. Texts move once, to
     their block; then n-grams, numbers and keys do.
@@ -247,9 +247,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         u = units(x)
         return (u if len(u) > ORDER + (u[ORDER - 1 : ORDER] == " ") else "").encode()
 
-    rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.sha2(text_of(text), 256).alias("sha"), F.col(text).alias("text"))
     blocks = count_blocks(docs, text, block_bytes)
-    mine = dealt(rows, blocks, pack, "key", "text", ("lang",))
+    mine = dealt(rows, blocks, pack, "key", "text", ("lang", "sha"))
     keys = rows.filter("key IS NOT NULL").select(block_of("key", "text", blocks).alias("block"), "key").distinct()
     trusted = trusted_keys(labels, key)
     roles = written(keys.join(trusted.withColumn("key", F.col("key").cast(kind)).hint("merge"), "key").select("block", "key", "role"), "roles")
@@ -273,9 +273,9 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         distinct, logp = no[order].view(np.uint64), logp[order]
         n, total = grams.sums(logp[grams.places(distinct)] if len(distinct) else np.empty(max(0, len(grams.codes) - ORDER + 1)))
         keys = own.column("key")
-        return pa.table({"key": keys, "lang": own.column("lang"), "role": pa.array([role.get(k) for k in keys.to_pylist()], pa.string()), "n_units": pa.array(n, pa.int64()), "nll": pa.array(-total, pa.float64())})
+        return pa.table({"key": keys, "lang": own.column("lang"), "sha": own.column("sha"), "role": pa.array([role.get(k) for k in keys.to_pylist()], pa.string()), "n_units": pa.array(n, pa.int64()), "nll": pa.array(-total, pa.float64())})
 
-    return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"key {kind}, lang string, role string, n_units long, nll double").withColumnRenamed("key", key)
+    return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"key {kind}, lang string, sha string, role string, n_units long, nll double").withColumnRenamed("key", key)
 
 
 #: Quantile of the trusted documents of a language beyond which a document is rejected; what is added to it
@@ -295,7 +295,13 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     Repeated rows are judged alike, each in its own row. No rows: no rows. Other
     columns are ignored, whatever their names.
     """
-    return _judged(written(perplexities(docs, labels, key, text, lang, block_bytes), "perplexities"), key, quantile, prior)
+    return _judged(written(perplexities(docs, labels, key, text, lang, block_bytes), "perplexities"), key, quantile, prior).drop("sha")
+
+
+def rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, sha) of rows that quality does not keep; none of those of which a repetition is kept."""
+    judged = _judged(written(perplexities(docs, labels, key, text, lang), "perplexities"), key, QUANTILE, PRIOR)
+    return judged.groupBy(F.col(key).alias("key"), "sha").agg(F.max("keep").alias("keep")).filter("NOT keep").select("key", "sha")
 
 
 def _limit(x: str, quantile: float) -> Column:
@@ -303,8 +309,7 @@ def _limit(x: str, quantile: float) -> Column:
 
 
 def _judged(scored: DataFrame, key: str, quantile: float, prior: float) -> DataFrame:
-    """scored has the columns of perplexities, and others that stay."""
-    more = [c for c in scored.columns if c not in (key, "lang", "role", "n_units", "nll")]
+    """The answers of quality with sha, for the rows of perplexities."""
     rate = scored.filter("role IS NOT NULL AND n_units > 0")
     if not (held := rate.filter("role = 'hold'")).isEmpty():
         rate = held
@@ -322,4 +327,4 @@ def _judged(scored: DataFrame, key: str, quantile: float, prior: float) -> DataF
     mean = F.coalesce("own", F.lit(overall).cast("double"), F.lit(0.0))
     limit = F.coalesce("limit", F.lit(all_limit).cast("double"), F.lit(float("inf")))
     perplexity = F.when(F.col("n_units") > 0, drawn(mean))
-    return rows.select(key, "lang", "n_units", perplexity.alias("perplexity"), limit.alias("threshold"), F.coalesce(perplexity <= limit, F.lit(False)).alias("keep"), *more)
+    return rows.select(key, "lang", "n_units", perplexity.alias("perplexity"), limit.alias("threshold"), F.coalesce(perplexity <= limit, F.lit(False)).alias("keep"), "sha")

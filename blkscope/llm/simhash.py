@@ -78,80 +78,79 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def links(fps: DataFrame, k: int = 4) -> DataFrame:
-    """(a, b) for distinct fingerprints fp, a < b as signed longs, at 1 to k differing bits, each pair once.
-
-    With a column root: only pairs of different roots, and (a, b) are the roots.
-
-    A pair meets under several variants; it is kept under the first one only:
-    the first segment with at most one differing bit, with that bit wild, or the
-    segment's first bit if none differs.
-    """
-    segments = _segments(k)
-    masks = [_signed(((1 << n) - 1) << a) for a, n in segments]
+def variants_of(fps: DataFrame, k: int) -> DataFrame:
+    """fps with a row for each one-wildcard variant of each segment: seg, wild (the bit that is wild) and value (the segment's other bits)."""
     variants = []
-    for s, (a, n) in enumerate(segments):
+    for s, (a, n) in enumerate(_segments(k)):
         for i in range(a, a + n):
             value = F.col("fp").bitwiseAND(F.lit(_signed(((1 << n) - 1) << a & ~(1 << i))))
-            variants.append(F.struct(F.lit(i).cast("byte").alias("wild"), value.alias("value"), F.lit(s).cast("byte").alias("seg")))
-    rooted = "root" in fps.columns
-    own_columns = ["fp", *(["root"] if rooted else [])]
-    index = fps.select(*own_columns, F.explode(F.array(*variants)).alias("v")).select(*own_columns, "v.wild", "v.value", "v.seg")
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-
-    def differing(s: int) -> Column:
-        return F.bit_count(x.bitwiseAND(F.lit(masks[s])))
-
-    first = F.lit(False)
-    for s, (a, _) in enumerate(segments):
-        own = x.bitwiseAND(F.lit(masks[s]))
-        here = (F.col("l.seg") == s) & F.when(own == 0, F.col("l.wild") == a).otherwise(own == F.expr("shiftleft(1L, int(l.wild))"))
-        for before in range(s):
-            here = here & (differing(before) > 1)
-        first = first | here
-    met = (F.col("l.wild") == F.col("r.wild")) & (F.col("l.value") == F.col("r.value"))
-    if rooted:
-        met = met & (F.col("l.root") != F.col("r.root"))
-    name = "root" if rooted else "fp"
+            variants.append(F.struct(F.lit(s).cast("byte").alias("seg"), F.lit(i).cast("byte").alias("wild"), value.alias("value")))
+    return fps.select("*", F.explode(F.array(*variants)).alias("v")).select(*fps.columns, "v.seg", "v.wild", "v.value")
+
+
+def _distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def meeting(fps: DataFrame, k: int) -> DataFrame:
+    """(fp, wild, value, least): the variants that different fingerprints share, with the least of these. wild and value name a variant."""
+    index = variants_of(fps.select("fp"), k).drop("seg")
+    shared = index.groupBy("wild", "value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("wild", "value", "least")
     # the variants are many times what Spark takes their size for, so it must not choose to broadcast them
-    return index.alias("l").hint("merge").join(index.alias("r"), met & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(x) <= k) & first).select(F.col(f"l.{name}").alias("a"), F.col(f"r.{name}").alias("b"))
+    return index.join(shared.hint("merge"), ["wild", "value"])
+
+
+def links(met: DataFrame, roots: DataFrame, k: int) -> DataFrame:
+    """(a, b), a < b: different roots of (fp, root) that fingerprints at no more than k differing bits connect, from the variants where they meet.
+
+    A variant whose fingerprints all have one root makes no pairs.
+    """
+    own = met.select("wild", "value", "fp").join(roots.hint("merge"), "fp")
+    mixed = own.groupBy("wild", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("wild", "value")
+    own = written(own.join(mixed.hint("merge"), ["wild", "value"], "left_semi").select("wild", "value", "fp", "root"), "mixed")
+    other = own.select(F.col("wild").alias("w"), F.col("value").alias("v"), F.col("fp").alias("other"), F.col("root").alias("rroot"))
+    met_there = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k)
+    return own.hint("merge").join(other, met_there).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
 
 
 def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, root) of now once edges (a, b) between its roots are followed."""
-    found = components(written(edges.distinct(), "links")).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    found = components(edges.distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
     return written(now.join(found, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")), "groups")
 
 
-def grouped(fps: DataFrame, steps: tuple[int, ...]) -> DataFrame:
-    """(fp, root): equal roots for fingerprints that links of at most steps[-1] bits connect.
+def grouped(fps: DataFrame, k: int) -> DataFrame:
+    """(fp, root): equal roots for fingerprints that links of at most k differing bits connect, directly or over others.
 
-    Steps are rising numbers of bits. Each one links only what the steps before
-    left in different groups, so that the pairs within a dense group, which
-    grow with its square, never leave the join.
+    First each fingerprint is linked to the least one of each of its variants,
+    which puts most of a dense group together with one row for each of its
+    members and variants; then all pairs that meet are looked at whose groups
+    still differ. The pairs within a group, which grow with its square, are
+    never made once it is one.
     """
+    met = written(meeting(fps, k), "variants")
     now = fps.select("fp", F.col("fp").alias("root"))
-    for k in steps:
-        now = _merged(now, links(now, k))
-    return now
+    now = _merged(now, met.filter((F.col("fp") != F.col("least")) & (_distance("fp", "least") <= k)).select(F.col("least").alias("a"), F.col("fp").alias("b")))
+    return _merged(now, links(met, now, k))
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, fp, n, grams): the fingerprint, and the n different shingles' hashes in order, as signed longs."""
+    """(key, sha, fp, sid, n, grams): the SHA-256 of the text, the fingerprint, a hash that equal sets share, and the n different shingles' hashes in order, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                hashes = [shingles(x.as_py(), shingle) for x in part.column(1)]
+                hashes = [shingles(x.as_py(), shingle) for x in part.column(2)]
                 fps = np.fromiter((majority(h) for h in hashes), dtype=np.uint64, count=len(hashes))
                 sets = [np.unique(h.view(np.int64)) for h in hashes]
+                sids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), dtype=np.uint64, count=len(sets))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), pa.array(np.diff(ends)), grams], names=["key", "fp", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(np.diff(ends)), grams], names=["key", "sha", "fp", "sid", "n", "grams"])
 
-    pairs = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, fp long, n int, grams array<long>")
+    pairs = docs.select(F.col(key).alias("key"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
+    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, sha string, fp long, sid long, n int, grams array<long>")
 
 
 def _head(jaccard: float) -> Column:
@@ -160,19 +159,20 @@ def _head(jaccard: float) -> Column:
 
 
 def shared_sets(sets: DataFrame, jaccard: float) -> DataFrame:
-    """(doc, fp, n, posted, grams) for the sets of (doc, fp, n, grams) that can be similar to another; of equal sets one.
+    """(doc, fp, n, posted, grams) for the sets of (doc, fp, sid, n, grams) that can be similar to another; of equal sets one.
 
     First those stay that have a member of their head, by hash, in common with
     another head; then those of whose members a share of jaccard is in other
     sets too. Both hold for all similar pairs. grams are then only the members
     that others have, posted those of the head by rarity, so that what is in
-    many texts is compared only where there is little else.
+    many texts is compared only where there is little else. Whole sets are read
+    again for those that are left, and don't move before.
     """
-    one = sets.filter("n > 0").groupBy("fp", F.xxhash64("grams").alias("h")).agg(F.min("doc").alias("doc")).select("doc")
-    own = sets.join(one, "doc", "left_semi")
-    first = written(own.select("doc", F.explode(F.slice("grams", F.lit(1), _head(jaccard))).alias("gram")), "heads")
-    common = first.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
-    live = written(first.join(common.hint("merge"), "gram", "left_semi").select("doc").distinct(), "live")
+    first = sets.filter("n > 0").select("sid", F.explode(F.slice("grams", F.lit(1), _head(jaccard))).alias("gram"))
+    common = first.groupBy("gram").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("gram")
+    live = first.join(common.hint("merge"), "gram", "left_semi").select("sid").distinct()
+    one = sets.filter("n > 0").groupBy("fp", "sid").agg(F.min("doc").alias("doc"))
+    live = written(one.join(live.hint("merge"), "sid", "left_semi").select("doc"), "live")
     every = written(sets.join(live, "doc", "left_semi").select("doc", "fp", "n", F.explode("grams").alias("gram")), "members")
     often = every.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = every.join(often.hint("merge"), "gram").groupBy("doc", "fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
@@ -203,46 +203,41 @@ def similar_links(shared: DataFrame, groups: DataFrame, jaccard: float, star: bo
     return both.filter(inter / (F.col("n") + F.col("rn") - inter) >= jaccard).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, steps: tuple[int, ...] = (2, 4, 6), jaccard: float | None = None) -> DataFrame:
-    """One row per row of docs: key, fingerprint, component_id as simhash_components has them for k = steps[-1], without counts of links.
+def _answers(made: DataFrame, nodes: DataFrame, groups: DataFrame, key: str, *more: str) -> DataFrame:
+    """key, fingerprint, component_id and more for the rows (key, fp) of made; group names a component."""
+    placed = groups.join(nodes, "fp")
+    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    per_fp = written(placed.join(ids, "root").select("fp", "component_id", F.col("root").alias("group")), "components")  # apart, so that the join can split a large group
+    return made.join(per_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, k: int = 4, jaccard: float = 0.8) -> DataFrame:
+    """One row per row of docs: key, fingerprint, component_id as simhash_components has them, group (a number of the component) and sha (of the text).
 
-    With jaccard: texts whose sets of shingles have that exact Jaccard
-    similarity are linked too, however far apart their fingerprints are.
+    Texts whose sets of shingles have an exact Jaccard similarity of jaccard or
+    more are linked too, however far apart their fingerprints are.
     """
-    if jaccard is None:
-        made = written(fingerprints(docs, key, text, shingle), "fingerprints")
-    else:
-        sets = written(shingle_sets(docs, key, text, shingle).withColumn("doc", F.monotonically_increasing_id()), "sets")
-        made = sets.select("key", "fp")
+    sets = written(shingle_sets(docs, key, text, shingle).withColumn("doc", F.monotonically_increasing_id()), "sets")
+    made = sets.select("key", "sha", "fp")
     nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    now = grouped(nodes.select("fp"), steps)
-    if jaccard is not None:
-        shared = shared_sets(sets, jaccard)
-        for star in (True, False):
-            now = _merged(now, similar_links(shared, now, jaccard, star))
-    placed = now.join(nodes, "fp")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = placed.join(ids, "root").select("fp", "component_id")
-    return made.join(per_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    now = grouped(nodes.select("fp"), k)
+    shared = shared_sets(sets, jaccard)
+    for star in (True, False):
+        now = _merged(now, similar_links(shared, now, jaccard, star))
+    return _answers(made, nodes, now, key, "group", "sha")
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, k: int = 4) -> DataFrame:
-    """One row per row of docs: key, fingerprint (16 hex digits), component_id, links.
+    """One row per row of docs: key, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest key that can be reached over links of at most
-    k differing bits, itself included; links counts other fingerprints that
-    this one links to. Equal fingerprints always share a component. Texts
-    without words have fingerprint zero, linked like any other; rows with a
-    null key take part, and have a null component_id only if no linked row has
-    a key. Copies never form pairs: the join is over distinct fingerprints.
+    k differing bits, itself included. Equal fingerprints always share a
+    component. Texts without words have fingerprint zero, linked like any other;
+    null counts as empty. Rows with a null key take part, and have a null
+    component_id only if no linked row has a key. Copies never form pairs: the
+    joins are over distinct fingerprints. Repeated rows get the same answer
+    each. No rows: no rows. Other columns are ignored.
     """
     made = written(fingerprints(docs, key, text, shingle), "fingerprints")
-    nodes = made.groupBy("fp").agg(F.min("key").alias("least"))
-    edges = written(links(nodes.select("fp"), k), "links")
-    roots = components(edges)
-    degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "fp")
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").join(degree, "fp", "left")
-    placed = written(placed.select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
-    ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_fp = placed.join(ids, "root").select("fp", "component_id", "links")
-    return made.join(per_fp, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("links").cast("long").alias("links"))
+    nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    return _answers(made, nodes, grouped(nodes.select("fp"), k), key)

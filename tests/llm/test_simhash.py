@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -55,57 +56,62 @@ def test_hard_rows_and_documents(hard, documents):
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows_of(df))
 
 
-@pytest.mark.parametrize("steps", [(6,), (2, 4, 6), (0, 3)])
-def test_steps_give_the_same_groups(spark, hard, documents, steps):
-    for df in (hard, documents):
-        got = S.near_groups(df, steps=steps)
-        assert sorted(map(tuple, got.collect()), key=str) == brute(rows_of(df), 5, steps[-1])
-    assert S.near_groups(hard.limit(0)).count() == 0
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def near(x, y):
+    return ((x ^ y) & ((1 << 64) - 1)).bit_count()
+
+
+def groups_of(fps, k):
+    root = {x: x for x in fps}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
 
+    for a in fps:
+        for b in fps:
+            if a < b and near(a, b) <= k:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {x: find(x) for x in fps}
 
-def test_steps_over_dense_groups(spark):
-    import random
 
-    rnd = random.Random(9)
-    fps = set()
-    for _ in range(6):
-        base = rnd.getrandbits(64)
-        bits = rnd.sample(range(64), 9)
-        for _ in range(60):
+def clusters(seed, groups, members, bits):
+    rnd = random.Random(seed)
+    fps = {0, signed((1 << 64) - 1)}
+    for _ in range(groups):
+        base, some = rnd.getrandbits(64), rnd.sample(range(64), bits)
+        for _ in range(members):
             x = base
-            for b in rnd.sample(bits, rnd.randrange(0, 9)):
+            for b in rnd.sample(some, rnd.randrange(0, bits)):
                 x ^= 1 << b
-            fps.add(x - (1 << 64) if x >> 63 else x)
+            fps.add(signed(x))
+    return sorted(fps)
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 4, 6, 7])
+def test_groups_of_fingerprints(spark, k):
+    for fps in (clusters(k, 30, 8, 7), clusters(k + 50, 4, 90, 9)):
+        got = {r.fp: r.root for r in S.grouped(spark.createDataFrame([(x,) for x in fps], "fp long"), k).collect()}
+        assert got == groups_of(fps, k)
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_every_pair_meets_and_groups_make_no_pairs(spark, k):
+    fps = clusters(k, 20, 12, 7)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for k in (1, 4, 6):
-        whole = {r.fp: r.root for r in S.grouped(df, (k,)).collect()}
-        for steps in ((1, k), (2, 4, k) if k > 4 else (0, k)):
-            parts = {r.fp: r.root for r in S.grouped(df, steps).collect()}
-            assert len({(whole[x], parts[x]) for x in fps}) == len(set(whole.values())) == len(set(parts.values()))
-
-
-@pytest.mark.parametrize("k", [0, 1, 2, 3, 4, 7])
-def test_links_are_all_pairs_once(spark, k):
-    import random
-
-    rnd = random.Random(k)
-    fps = {0, (1 << 64) - 1}
-    for _ in range(30):
-        base = rnd.getrandbits(64)
-        for _ in range(8):
-            x = base
-            for _ in range(rnd.randrange(0, 7)):
-                x ^= 1 << rnd.randrange(64)
-            fps.add(x)
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = sorted((r.a, r.b) for r in S.links(spark.createDataFrame([(x,) for x in signed], "fp long"), k).collect())
-    want = sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= k)
-    assert got == want
+    met = S.written(S.meeting(df, k), "met")
+    alone = df.selectExpr("fp", "fp AS root")
+    pairs = {(r.a, r.b) for r in S.links(met, alone, k).collect()}
+    assert pairs == {(a, b) for a in fps for b in fps if a < b and near(a, b) <= k}
+    assert S.links(met, df.selectExpr("fp", "0L AS root"), k).count() == 0
 
 
 def test_components(spark):
-    import random
-
     rnd = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, x) for x in range(200, 260)] + [(5, 5)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(70)]
     root = {}
