@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import io_class
 from ..schema import COMPLETE, MS, SEND
-from .order import BUCKET, BUCKET_ROWS, KEY, TRACE, by_order, local, ordered, sliced
+from .order import BUCKET, BUCKET_ROWS, HEAD, KEY, TRACE, by_order, local, ordered, sliced
 
 PAIR = {"ufs": ("tag", "opcode"), "block": ("sector", "__op")}
 
@@ -79,9 +79,9 @@ def _events(df: DataFrame, kind: str) -> tuple[Column, Column]:
     return F.col("action") == SEND[kind], F.col("action") == COMPLETE[kind]
 
 
-def dedup_block(df: DataFrame, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+def dedup_block(df: DataFrame, bucket_rows: int | None = BUCKET_ROWS, strict_order: bool = False) -> DataFrame:
     """Block events without completes of writes of size 0 and without issues of a (sector, class, size) that is outstanding."""
-    return _dedup(*ordered(df, bucket_rows=bucket_rows)).drop(KEY, BUCKET)
+    return _dedup(*ordered(df, head=_head(strict_order), bucket_rows=bucket_rows)).drop(KEY, BUCKET)
 
 
 def _dedup(rows: DataFrame, single: bool) -> DataFrame:
@@ -94,16 +94,22 @@ def _dedup(rows: DataFrame, single: bool) -> DataFrame:
     return rows.filter(~again).drop("__op", "__two", "__previous")
 
 
-def derive(df: DataFrame, kind: str, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+def _head(strict_order: bool) -> int | None:
+    return None if strict_order else HEAD
+
+
+def derive(df: DataFrame, kind: str, bucket_rows: int | None = BUCKET_ROWS, strict_order: bool = False) -> DataFrame:
     """The table of a kind: its events with qd, latencies in ms (0.0 where there is none) and continuous, in any row order.
 
     ufs and block: df has the columns of schema.EVENTS that this needs; block
     events are deduplicated first. cus: one row per request. A second event at
-    the same time comes after the first in line order. No rows: no rows.
+    the same time comes after the first in line order. strict_order: a trace is
+    sorted by time wherever in it time runs backwards, not only among its first
+    rows. No rows: no rows.
     """
     if kind == "cus":
-        return _derive_requests(df, bucket_rows)
-    rows, single = ordered(df, bucket_rows=bucket_rows)
+        return _derive_requests(df, bucket_rows, strict_order)
+    rows, single = ordered(df, head=_head(strict_order), bucket_rows=bucket_rows)
     if kind == "block":
         rows = _dedup(rows, single)
     send, complete = _events(rows, kind)
@@ -140,8 +146,8 @@ def derive(df: DataFrame, kind: str, bucket_rows: int | None = BUCKET_ROWS) -> D
     return rows.drop("__busy", "__done", "__idle", "__next", "__op", KEY, BUCKET)
 
 
-def _derive_requests(df: DataFrame, bucket_rows: int | None) -> DataFrame:
-    rows, single = ordered(df, "start_time", bucket_rows=bucket_rows)
+def _derive_requests(df: DataFrame, bucket_rows: int | None, strict_order: bool) -> DataFrame:
+    rows, single = ordered(df, "start_time", _head(strict_order), bucket_rows)
 
     # queue depth over starts and ends in order of time; ties by line, a request's start before its end
     ends = df.select(TRACE, F.col("seq").alias("request"), F.explode(F.array(F.struct(F.col("start_time").alias("time"), F.lit(0).alias("end")), F.struct(F.col("end_time").alias("time"), F.lit(1).alias("end")))).alias("e"))

@@ -2,7 +2,8 @@
 
 Rows stay in line order unless a time runs backwards among a trace's first
 HEAD rows; then the trace is sorted by time, ties by line. A bucket holds
-neighbouring rows of one trace: slices of line numbers, or of time.
+neighbouring rows of one trace: slices of line numbers, or of time, that hold
+about as many rows each.
 """
 
 from __future__ import annotations
@@ -18,35 +19,55 @@ BUCKET_ROWS = 500_000
 TRACE, BUCKET, KEY = "trace", "__bucket", "__key"
 
 
-def needs_sort(df: DataFrame, time: str = "time", head: int = HEAD) -> DataFrame:
-    """(trace, sorted): whether a trace is put in order of time. Only each trace's first rows are ordered for this."""
+def needs_sort(df: DataFrame, time: str = "time", head: int | None = HEAD) -> DataFrame:
+    """(trace, sorted): whether a trace is put in order of time. Only each trace's first rows are ordered for this; head None: all are sorted, which changes no trace that is in order."""
+    if head is None:
+        return df.select(TRACE, F.lit(True).alias("sorted")).distinct()
     first = Window.partitionBy(TRACE).orderBy("seq")
     top = df.select(TRACE, "seq", F.col(time).alias("t")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= head)
     back = F.col("t") < F.lag("t").over(first)
     return top.select(TRACE, F.coalesce(back, F.lit(False)).alias("back")).groupBy(TRACE).agg(F.max("back").alias("sorted"))
 
 
+def slice_of(key: Column, limits: Column) -> Column:
+    """How many of the limits, which are in order, are not above key; by halving, so that thousands of limits cost a dozen steps. No limits: 0."""
+    size = F.coalesce(F.size(limits), F.lit(0))
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when((at + width <= size) & (F.get(limits, at + width - 1) <= key), at + width).otherwise(at)
+
+    return F.when(size > 0, F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), step)).otherwise(0).cast("long")
+
+
+def limits_of(key: str, slices: int) -> Column:
+    """An aggregate: slices - 1 keys between which about as many rows lie, a row more or less in twenty."""
+    return F.percentile_approx(key, [k / slices for k in range(1, slices)], max(10000, 20 * slices))
+
+
 def sliced(keyed: DataFrame, bucket_rows: int | None) -> tuple[DataFrame, bool]:
     """keyed with __bucket by its __key, and whether every trace is one bucket.
 
-    Buckets are slices of equal width, so a burst makes some longer; what is
-    computed on them does not depend on where they end. The number of rows of
-    the longest trace decides whether there are any: it is counted here, unless
-    bucket_rows is None (one bucket per trace).
+    Buckets are cut where the keys lie, so a burst or a stray time makes none
+    longer; rows of the same key are in one. What is computed on buckets does
+    not depend on where they end, but all readers must see the same ends: the
+    driver takes them, one number for about bucket_rows rows, and those of the
+    longest trace set how many there are. bucket_rows None: one bucket per trace.
     """
     one = keyed.withColumn(BUCKET, F.lit(0).cast("long"))
     if bucket_rows is None:
         return one, True
-    spans = keyed.groupBy(TRACE).agg(F.count("*").alias("rows"), F.min(KEY).alias("low"), F.max(KEY).alias("high"))
-    longest = spans.agg(F.max("rows")).first()[0]
+    rows = keyed.groupBy(TRACE).agg(F.count("*").alias("n"))
+    longest = rows.agg(F.max("n")).first()[0]
     if longest is None or longest <= bucket_rows:
         return one, True
-    slices = spans.select(F.col(TRACE).alias("__t"), F.col("low").alias("__low"), ((F.col("high") - F.col("low")) / F.ceil(F.col("rows") / bucket_rows)).alias("__width"))
-    cut = F.when(F.col("__width") > 0, F.floor((F.col(KEY) - F.col("__low")) / F.col("__width"))).otherwise(0).cast("long")
-    return keyed.join(slices, F.col(TRACE) == F.col("__t")).withColumn(BUCKET, cut).drop("__t", "__low", "__width"), False
+    spans = keyed.groupBy(TRACE).agg(F.count("*").alias("n"), limits_of(KEY, -(-longest // bucket_rows)).alias("limits"))
+    ends = [(r[TRACE], sorted({float(x) for x in r["limits"]})) for r in spans.filter(F.col("n") > bucket_rows).collect()]
+    cuts = keyed.sparkSession.createDataFrame(ends, "__t string, __limits array<double>")
+    found = keyed.join(cuts, F.col(TRACE) == F.col("__t"), "left")
+    return found.withColumn(BUCKET, slice_of(F.col(KEY), F.col("__limits"))).drop("__t", "__limits"), False
 
 
-def ordered(df: DataFrame, time: str = "time", head: int = HEAD, bucket_rows: int | None = BUCKET_ROWS) -> tuple[DataFrame, bool]:
+def ordered(df: DataFrame, time: str = "time", head: int | None = HEAD, bucket_rows: int | None = BUCKET_ROWS) -> tuple[DataFrame, bool]:
     """df with __key and __bucket: rows of a trace are in order by (__bucket, __key, seq); and whether every trace is one bucket."""
     flags = needs_sort(df, time, head).select(F.col(TRACE).alias("__t"), "sorted")
     keyed = df.join(flags, F.col(TRACE) == F.col("__t")).withColumn(KEY, F.when(F.col("sorted"), F.col(time)).otherwise(F.col("seq").cast("double"))).drop("__t", "sorted")
@@ -62,7 +83,7 @@ def local(*keys: str, more: tuple[str, ...] = ()) -> Window:
     return Window.partitionBy(TRACE, BUCKET, *keys).orderBy(*by_order(*more))
 
 
-def conditional_sort(df: DataFrame, time: str = "time", head: int = HEAD, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
+def conditional_sort(df: DataFrame, time: str = "time", head: int | None = HEAD, bucket_rows: int | None = BUCKET_ROWS) -> DataFrame:
     """df in its order: sorted by trace and order, with ord counting rows of a trace from 1.
 
     ord comes from the rows before in a bucket and the sizes of the buckets before it.

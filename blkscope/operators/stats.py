@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.units import bucket_label, bucket_labels, bucket_number, first_char, format_bytes
@@ -53,18 +53,52 @@ def zero_filled(rows: DataFrame, thresholds: list[str]) -> DataFrame:
     return filled.select("trace", "key", "bucket_ord", "bucket", F.coalesce(F.try_element_at("have", F.col("bucket_ord")), F.lit(0)).alias("n"))
 
 
-def summary_of(value: Column) -> list[Column]:
-    """Count, sum, average, population deviation, extremes, median and percentiles with linear interpolation."""
-    p = F.percentile(value, [0.5, *PERCENTILES])
-    return [
+#: Of up to so many values all are looked at for a percentile; of more only those that a sketch places within
+#: MARGIN of it, where the sketch is right to a rank in SKETCH.
+FEW, SKETCH, MARGIN = 100_000, 10_000, 3e-4
+
+RANKS = [0.5, *PERCENTILES]
+
+
+def summarised(rows: DataFrame, *by: str) -> DataFrame:
+    """One row per group of rows (by..., value): n, sum, average, population deviation and extremes of value, and p: the exact
+    median and percentiles with linear interpolation; nulls don't count, and p is null without values.
+
+    The first pass finds between which two values each percentile lies, the
+    second counts what is below these and each value between them. So a group
+    of any size is shared by all tasks, and only the few values near a
+    percentile are put in order.
+    """
+    value = F.col("value")
+    nearby = [max(0.0, min(1.0, q + d)) for q in RANKS for d in (-MARGIN, MARGIN)]
+    sums = rows.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
-        F.coalesce(F.min(value), F.lit(0.0)).alias("min"),
-        F.coalesce(F.max(value), F.lit(0.0)).alias("max"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
         F.coalesce(F.avg(value), F.lit(0.0)).alias("avg"),
         F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std_dev"),
-        p.alias("p"),
-    ]
+        F.percentile_approx(value, nearby, SKETCH).alias("near"),
+    )
+
+    def end(k: int, whole: str) -> Column:
+        return F.when((F.col("n") <= FEW) | F.lit(nearby[k] in (0.0, 1.0)), F.col(whole)).otherwise(F.col("near")[k])
+
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), end(2 * k, "low").alias("from"), end(2 * k + 1, "high").alias("to")) for k in range(len(RANKS))])
+    groups = [F.col(c).alias(f"__{c}") for c in by]
+    told = sums.filter("n > 0").select(*groups, F.col("n").alias("__n"), spans.alias("spans"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    seen = rows.filter(value.isNotNull()).select(*by, "value").join(told, same).select(*[f"__{c}" for c in by], "__n", "value", F.explode("spans").alias("s")).filter(value <= F.col("s.to"))
+    counts = seen.groupBy(*[f"__{c}" for c in by], "__n", F.col("s.k").alias("k"), F.when(value >= F.col("s.from"), value).alias("v")).agg(F.count("*").alias("c"))
+    so_far = Window.partitionBy(*[f"__{c}" for c in by], "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(q) for q in RANKS]), F.col("k") + 1)
+    placed = counts.select("*", F.sum("c").over(so_far).alias("upto"), place.alias("place"))
+    found = placed.groupBy(*[f"__{c}" for c in by], "k", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("b"))
+    between = (F.ceil("place") - F.col("place")) * F.col("a") + (F.col("place") - F.floor("place")) * F.col("b")
+    exact = found.select(*[f"__{c}" for c in by], "k", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("x"))
+    p = exact.groupBy(*[f"__{c}" for c in by]).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("p"))
+    extremes = [F.coalesce(a, F.lit(0.0)).alias(b) for a, b in (("low", "min"), ("high", "max"))]
+    return sums.join(p, same, "left").select(*by, "n", "sum", *extremes, "avg", "std_dev", "p")
 
 
 def _with_percentiles(df: DataFrame) -> DataFrame:
@@ -76,9 +110,9 @@ def _with_percentiles(df: DataFrame) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, kind: str, column: str, r: Range | None = None, hidden: list[str] | None = None, group: bool = False) -> DataFrame:
-    """One row per trace and key: n, sum, min, max, avg, std_dev, median and percentiles. Exact percentiles hold a count per different value."""
+    """One row per trace and key: n, sum, min, max, avg, std_dev, median and percentiles, all exact."""
     rows = value_rows(df, kind, column, r, hidden, group)
-    return _with_percentiles(rows.groupBy("trace", "key").agg(*summary_of(F.col("value"))))
+    return _with_percentiles(summarised(rows, "trace", "key"))
 
 
 def size_stats(df: DataFrame, kind: str, column: str, r: Range | None = None, group: bool = False) -> DataFrame:
@@ -128,7 +162,7 @@ def qd_summary(df: DataFrame, kind: str = "ufs", r: Range | None = None) -> Data
     """Queue depth per trace and key over all rows."""
     depth = "start_qd" if kind == "cus" else "qd"
     rows = apply_range(df, kind, r).select("trace", group_of(kind).alias("key"), F.col(depth).cast("double").alias("value"))
-    return _with_percentiles(rows.groupBy("trace", "key").agg(*summary_of(F.col("value"))))
+    return _with_percentiles(summarised(rows, "trace", "key"))
 
 
 def all_sizes(df: DataFrame, kind: str, r: Range | None = None, group: bool = False) -> DataFrame:
@@ -155,7 +189,7 @@ def all_stats(df: DataFrame, kind: str, thresholds: list[str], r: Range | None =
     named = F.concat_ws("\n", "latency", "key")
     filled = zero_filled(long.select("trace", named.alias("key"), F.when(F.col("value").isNotNull(), bucket_number(F.col("value"), thresholds)).alias("bucket_ord")), thresholds)
     histogram = filled.select("trace", F.substring_index("key", "\n", 1).alias("latency"), F.regexp_extract("key", r"(?s)^[^\n]*\n(.*)$", 1).alias("key"), "bucket_ord", "bucket", "n")
-    summary = _with_percentiles(long.groupBy("trace", "latency", "key").agg(*summary_of(F.col("value"))))
+    summary = _with_percentiles(summarised(long, "trace", "latency", "key"))
     return {"histogram": histogram, "summary": summary, "sizes": all_sizes(df, kind, r, group), "continuity": continuity_stats(df, kind, r)}
 
 

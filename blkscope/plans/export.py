@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.filters import Range, export_range
+from ..operators.order import limits_of, slice_of
 from ..schema import TIME
 
 #: Data rows of a file: what a spreadsheet holds under a header.
@@ -15,17 +16,16 @@ MAX_ROWS = 1_048_575
 def numbered(df: DataFrame, kind: str, r: Range | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of an export with n (from 0, in order of time, then trace and line) and chunk.
 
-    Rows are dealt by ranges of time; a row's number is its place in its slice
+    Rows are dealt by ranges of time that hold about as many rows each; a row's number is its place in its slice
     and the sizes of the slices before, of which there is one row each.
     """
     condition = export_range(kind, r) if r else None
     rows = df.filter(condition) if condition is not None else df
     time = TIME[kind]
-    limits = rows.agg(F.min(time).alias("__low"), F.max(time).alias("__high"), F.count("*").alias("__n"))
-    low, high, n = limits.first()
-    slices = max(1, -(-n // max_rows))
-    width = ((high - low) / slices or 1.0) if n and low is not None else 1.0
-    cut = F.coalesce(F.least(F.floor((F.col(time) - F.lit(low)) / F.lit(width)), F.lit(slices - 1)), F.lit(slices)).cast("long") if n else F.lit(0).cast("long")
+    slices = max(1, -(-rows.count() // max_rows))
+    limits = rows.agg(limits_of(time, slices).alias("limits")).first()["limits"] if slices > 1 else None
+    ends = F.array(*[F.lit(float(x)) for x in sorted(set(limits or []))]).cast("array<double>")
+    cut = F.when(F.col(time).isNull(), F.lit(slices).cast("long")).otherwise(slice_of(F.col(time), ends))
     cut_rows = rows.withColumn("__slice", cut)
     order = [F.col(time).asc_nulls_last(), F.col("trace"), F.col("seq")]
     sizes = cut_rows.groupBy("__slice").agg(F.count("*").alias("__n"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..operators.filters import Range, apply_range, view_range
 from ..operators.sample import sample_exact
 from ..schema import PREVIEW_ROWS
+from ..sources.patterns import Registry
+from ..sources.store import Catalog
+from .ingest import ingest
 
 
 def with_counts(df: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -62,3 +65,12 @@ class Session:
     def cancel(self) -> None:
         self.cancelled = True
         self.spark.sparkContext.cancelJobGroup(self.group)
+
+
+def reparse(session: Session, catalog: Catalog, log_id: int, registry: Registry | None = None, **more) -> DataFrame:
+    """Reads a catalogued log again, replaces its traces and drops what the session kept of them; ingest's counts by kind. more goes to ingest."""
+    (row,) = catalog.table().filter(F.col("id") == log_id).collect()
+    counts = ingest(session.spark, row["path"], row["folder"], registry, overwrite=True, **more)
+    session.clear()
+    catalog.update(log_id, kinds=",".join(sorted(r["kind"] for r in counts.collect() if r["kind"] != "missing")))
+    return counts

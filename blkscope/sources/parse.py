@@ -1,4 +1,9 @@
-"""Lines to typed rows, by regexp_extract only."""
+"""Lines to typed rows: one regular expression match per line and kind.
+
+The match writes all groups of a line into one delimited string, which becomes
+an array. Arrays, and then the typed rows, are handed on through inline(), so
+that Catalyst does not copy the match into each column that is made from it.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,10 @@ DEBUG_LBA, LARGEST_LBA, NO_SECTOR = 2305843009213693951, 1 << 48, "1844674407370
 UINT32, INT32 = (1 << 32) - 1, 1 << 31
 
 #: A line of a kind has this in it; saves the other patterns' work. Patterns of one's own may do without.
-MARKS = {"ufs": "ufshcd_command", "block": "(", "cus": ","}
+MARKS = {"ufs": "ufshcd_command", "block": "()", "cus": ","}
+
+#: Parts the groups of a match. In a line it counts as U+FFFD.
+BETWEEN, INSTEAD = "\x01", "\ufffd"
 
 
 def _uint(text: Column, largest: int = UINT32) -> Column:
@@ -21,14 +29,22 @@ def _uint(text: Column, largest: int = UINT32) -> Column:
     return F.when(text.rlike(r"^\+?[0-9]{1,18}$"), F.when(text.cast("long") <= largest, text.cast("long")))
 
 
-def _fields(line: Column, pattern: str) -> tuple[Column, dict[str, Column]]:
+def groups_of(line: Column, pattern: str) -> Column:
+    """An empty string and then the named groups in the order of the pattern if the pattern is found in the line, else an array of one."""
     plain, numbers = for_spark(pattern)
-    return line.rlike(plain), {name: F.regexp_extract(line, plain, n) for name, n in numbers.items()}
+    flags, body = plain[:4], plain[4:]
+    replacement = "".join(f"{BETWEEN}${n}" for n in numbers.values())
+    return F.split(F.regexp_replace(F.translate(line, BETWEEN, INSTEAD), rf"{flags}\A.*?(?:{body}).*\z", replacement), BETWEEN)
+
+
+def _fields(found: Column, pattern: str) -> tuple[Column, dict[str, Column]]:
+    names = list(for_spark(pattern)[1])
+    return F.size(found) == len(names) + 1, {name: F.get(found, F.lit(k + 1)) for k, name in enumerate(names)}
 
 
-def ufs_row(line: Column, pattern: str) -> Column:
-    """The event of a line, or null. A size is bytes, kept in units of 4 KB; a negative hwq_id or a number out of range rejects the line."""
-    fits, f = _fields(line, pattern)
+def ufs_row(found: Column, pattern: str) -> Column:
+    """The event of a match as groups_of gives it, or null. A size is bytes, kept in units of 4 KB; a negative hwq_id or a number out of range rejects the line."""
+    fits, f = _fields(found, pattern)
     size = F.when(f["size"].rlike(r"^-?[0-9]{1,10}$"), f["size"].cast("long"))
     size = F.when((size < INT32) & (size >= -INT32), F.floor(F.abs(size) / 4096).cast("long"))
     lba = F.coalesce(F.when(f["lba"].rlike(r"^[0-9]{1,18}$"), f["lba"].cast("long")), F.lit(0).cast("long"))
@@ -41,9 +57,9 @@ def ufs_row(line: Column, pattern: str) -> Column:
     return _whole(fits, row, ("time", "cpu", "tag", "size", "groupid", "hwqid"))
 
 
-def block_row(line: Column, pattern: str) -> Column:
-    """The event of a line, or null. No extra is 0; a sector that stands for none, or that is no number, is 0."""
-    fits, f = _fields(line, pattern)
+def block_row(found: Column, pattern: str) -> Column:
+    """The event of a match, or null. No extra is 0; a sector that stands for none, or that is no number, is 0."""
+    fits, f = _fields(found, pattern)
     sector = F.when(f["sector"] == NO_SECTOR, 0).otherwise(F.coalesce(F.when(f["sector"].rlike(r"^[0-9]{1,18}$"), f["sector"].cast("long")), F.lit(0)))
     extra = _uint(f["extra"]) if "extra" in f else F.lit(None).cast("long")
     row = F.struct(
@@ -53,9 +69,9 @@ def block_row(line: Column, pattern: str) -> Column:
     return _whole(fits, row, ("time", "cpu", "devmajor", "devminor", "size"))
 
 
-def cus_row(line: Column, pattern: str) -> Column:
-    """The request of a line, or null. Numbers out of range are 0."""
-    fits, f = _fields(line, pattern)
+def cus_row(found: Column, pattern: str) -> Column:
+    """The request of a match, or null. Numbers out of range are 0."""
+    fits, f = _fields(found, pattern)
 
     def number(name: str, largest: int) -> Column:
         return F.coalesce(_uint(f[name], largest), F.lit(0)).cast("long")
@@ -83,13 +99,14 @@ def parsed(lines: DataFrame, registry: Registry | None = None) -> DataFrame:
     its numbers are right too.
     """
     registry = registry or Registry()
-    line = F.col("line")
-    rows = {}
+    line, found = F.col("line"), {}
     for kind in KINDS:
         mark = MARKS[kind] if registry.active[kind] in registry.list(kind)[kind] and registry.active[kind].startswith("Default ") else None
-        row = ROWS[kind](line, registry.active_pattern(kind))
-        rows[kind] = F.when(line.contains(mark), row) if mark else row
-    tried = lines.select("trace", "line_no", *[rows[k].alias(k) for k in KINDS])
+        own = groups_of(line, registry.active_pattern(kind))
+        found[kind] = F.when(line.contains(mark), own) if mark else own
+    matched = lines.select("trace", "line_no", F.inline(F.array(F.struct(*[found[k].alias(k) for k in KINDS]))))
+    rows = F.struct(*[ROWS[k](F.col(k), registry.active_pattern(k)).alias(k) for k in KINDS])
+    tried = matched.select("trace", "line_no", F.inline(F.array(rows)))
     kind = F.when(F.col("cus").isNotNull(), "cus").when(F.col("ufs").isNotNull(), "ufs").when(F.col("block").isNotNull(), "block")
     return tried.select("trace", "line_no", kind.alias("kind"), *KINDS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
@@ -46,17 +46,29 @@ def paths_by_kind(paths: str) -> dict[str, list[str]]:
     return out
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """df with __seq: a row's place in its file and the rows of the files before. One number for each file is scanned in order."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = sizes.select(F.col("__file").alias("__f"), before.alias("__before"))
+    return rows.join(told, F.col("__file") == F.col("__f")).withColumn("__seq", F.col("__before") + F.col("__row")).select(*df.columns, "__seq")
+
+
 def load_files(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     """Tables of one kind in files of others, all rows of all of them, as one trace each.
 
-    Where a file has no seq, the order of its rows is. Unsigned numbers become
-    longs; a sector that stands for none is 0.
+    Where a file has no seq, the order of its rows is; in a folder files count
+    in the order of their names. Unsigned numbers become longs; a sector that
+    stands for none is 0.
     """
     wanted = [tuple(c.split()) for c in TABLES[kind].split(", ")]
 
     def one(path: str) -> DataFrame:
         df = spark.read.parquet(path)
         have = set(df.columns)
+        if "seq" not in have:
+            df = _in_order(df)
         if missing := [c for c, _ in wanted if c not in have and c not in ("trace", "seq")]:
             raise ValueError(f"{path} lacks {', '.join(missing)}")
         out = []
@@ -64,7 +76,7 @@ def load_files(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
             if c == "trace":
                 out.append((F.col(c) if c in have else F.lit(path.rstrip("/").rsplit("/", 1)[-1])).alias(c))
             elif c == "seq":
-                out.append((F.col(c) if c in have else F.monotonically_increasing_id()).alias(c))
+                out.append((F.col(c) if c in have else F.col("__seq")).alias(c))
             elif c in ("sector", "lba"):
                 out.append(F.coalesce(F.col(c).try_cast(t), F.lit(0).cast("long")).alias(c))
             else:
@@ -135,6 +147,12 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return bad
 
 
+def clean_catalog(catalog: Catalog, max_age_hours: float) -> int:
+    """clean_up in the folders of all logs of the catalog."""
+    folders = sorted({r["folder"] for r in catalog.table().select("folder").distinct().collect() if r["folder"]})
+    return clean_up(catalog.spark, folders, max_age_hours)
+
+
 def clean_up(spark: SparkSession, folders: list[str], max_age_hours: float, prefix: str = "trace_temp_") -> int:
     """Deletes temporary files named prefix... that are older than max_age_hours, in folders and their own folders. Returns how many."""
     done, oldest = 0, (time.time() - max_age_hours * 3600) * 1000

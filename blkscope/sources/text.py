@@ -1,25 +1,89 @@
-"""Logs as lines: (trace, line_no, line)."""
+"""Logs as lines: (trace, line_no, line).
+
+A log's encoding is told by its first HEAD bytes: a byte order mark, else UTF-8
+if they are that, else CP949, the usual one of such logs elsewhere.
+"""
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of UTF-8 logs, split over tasks by Spark, with their number from 1 in each file.
+HEAD = 8192
+
+
+def encoding_of(head: bytes) -> str:
+    """The encoding that the first bytes of a log tell; a character that the end cuts in two counts as whole."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if head.startswith(mark):
+            return name
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return "cp949"
+    return "utf-8"
+
+
+def encodings(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """The files that path names, by encoding. The driver reads the head of each, no more."""
+    jvm = spark.sparkContext._jvm
+    out: dict[str, list[str]] = {}
+    for name in sorted(spark.read.text(path).inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        file = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+        try:
+            head = bytes(file.readNBytes(HEAD))
+        finally:
+            file.close()
+        out.setdefault(encoding_of(head), []).append(name)
+    return out
+
+
+def read_log(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """Lines of logs, split over tasks by Spark, with their number from 1 in each file.
+
+    trace is the file's name. Logs in CP949 are split too, as no character of it
+    holds the byte of a line end; their lines are decoded in Arrow batches.
+    Those in UTF-16 are read by a task each. Bytes further on that are no UTF-8
+    become U+FFFD, or with strict are an error.
+    """
+    found = encodings(spark, path)
+    parts = []
+    if plain := found.get("utf-8"):
+        text = F.validate_utf8("value") if strict else F.make_valid_utf8("value")
+        parts.append(_numbered(spark, plain, F.regexp_replace(text, r"^\x{FEFF}|\r\z", "")))
+    if other := found.get("cp949"):
+        parts.append(_decoded_lines(_numbered(spark, other, F.col("value").cast("binary")), "cp949"))
+    if wide := found.get("utf-16"):
+        parts.append(read_encoded(spark, wide, "utf-16"))
+    if not parts:
+        return spark.createDataFrame([], "trace string, line_no long, line string")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _decoded_lines(lines: DataFrame, encoding: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(line=[bytes(x).decode(encoding, "replace").removesuffix("\r") for x in batch["line"]])
+
+    return lines.mapInPandas(run, "trace string, line_no long, line string")
+
+
+def _numbered(spark: SparkSession, path: str | list[str], line: Column) -> DataFrame:
+    """The lines of files with their numbers; line is made from the column value.
 
-    trace is the file's name. A line's place is its split and its place within
-    it. Numbers count up from each split's first; only the splits' sizes, one
-    row each, are scanned in order.
+    A line's place is its split and its place within it. Numbers count up from
+    each split's first; only the splits' sizes, one row each, are scanned in
+    order.
     """
     rows = spark.read.option("lineSep", "\n").text(path)
-    rows = rows.select(
-        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", r"\r\z", "").alias("line")
-    )
+    rows = rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), line.alias("line"))
     sizes = rows.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = sizes.select(F.col("__file").alias("f"), F.col("__start").alias("s"), "first", before.alias("before"))
