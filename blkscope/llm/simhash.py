@@ -6,7 +6,7 @@ each segment with each of its bits in turn wild; an equality join on these
 variants finds all links, and the exact distance confirms them.
 
 Texts of a high Jaccard similarity often differ in more bits than that. near_groups
-finds them by their shingles, with none left out: see shared_sets.
+links those too, by the least hashes of their shingles: see similar_links.
 """
 
 from __future__ import annotations
@@ -92,25 +92,26 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def meeting(fps: DataFrame, k: int) -> DataFrame:
-    """(fp, wild, value, least): the variants that different fingerprints share, with the least of these. wild and value name a variant."""
-    index = variants_of(fps.select("fp"), k).drop("seg")
-    shared = index.groupBy("wild", "value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).filter("least < most").select("wild", "value", "least")
+def links(groups: DataFrame, k: int) -> DataFrame:
+    """(a, b), a < b: different roots of (fp, root) that fingerprints at no more than k differing bits connect.
+
+    A pair may come several times. Candidates are compared inside the join, and
+    only links leave it.
+    """
+    index = variants_of(groups, k).drop("seg")
+    other = index.select(F.col("wild").alias("w"), F.col("value").alias("v"), F.col("fp").alias("other"), F.col("root").alias("rroot"))
+    met = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k)
     # the variants are many times what Spark takes their size for, so it must not choose to broadcast them
-    return index.join(shared.hint("merge"), ["wild", "value"])
+    return index.hint("merge").join(other, met).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
 
 
-def links(met: DataFrame, roots: DataFrame, k: int) -> DataFrame:
-    """(a, b), a < b: different roots of (fp, root) that fingerprints at no more than k differing bits connect, from the variants where they meet.
-
-    A variant whose fingerprints all have one root makes no pairs.
-    """
-    own = met.select("wild", "value", "fp").join(roots.hint("merge"), "fp")
-    mixed = own.groupBy("wild", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("wild", "value")
-    own = written(own.join(mixed.hint("merge"), ["wild", "value"], "left_semi").select("wild", "value", "fp", "root"), "mixed")
-    other = own.select(F.col("wild").alias("w"), F.col("value").alias("v"), F.col("fp").alias("other"), F.col("root").alias("rroot"))
-    met_there = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k)
-    return own.hint("merge").join(other, met_there).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
+def star_links(fps: DataFrame, k: int) -> DataFrame:
+    """(a, b): each fingerprint with the least and the largest of those that share a whole segment with it, where they differ in at most k bits."""
+    parts = F.array(*[F.struct(F.lit(s).cast("byte").alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << n) - 1) << a))).alias("value")) for s, (a, n) in enumerate(_segments(k))])
+    index = fps.select("fp", F.explode(parts).alias("p")).select("fp", "p.seg", "p.value")
+    ends = index.groupBy("seg", "value").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
+    met = index.join(ends.hint("merge"), ["seg", "value"]).select("fp", F.explode(F.array("least", "most")).alias("end"))
+    return met.filter((F.col("fp") != F.col("end")) & (_distance("fp", "end") <= k)).select(F.col("fp").alias("a"), F.col("end").alias("b"))
 
 
 def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,83 +123,59 @@ def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
 def grouped(fps: DataFrame, k: int) -> DataFrame:
     """(fp, root): equal roots for fingerprints that links of at most k differing bits connect, directly or over others.
 
-    First each fingerprint is linked to the least one of each of its variants,
-    which puts most of a dense group together with one row for each of its
-    members and variants; then all pairs that meet are looked at whose groups
-    still differ. The pairs within a group, which grow with its square, are
-    never made once it is one.
+    First each fingerprint is linked to the least and the largest one of each
+    of its segments, which puts most of a dense group together by a few rows for
+    each of its members; then all pairs whose groups still differ are found by
+    the variants. The pairs within a group, which grow with its square, never
+    leave the join.
     """
-    met = written(meeting(fps, k), "variants")
-    now = fps.select("fp", F.col("fp").alias("root"))
-    now = _merged(now, met.filter((F.col("fp") != F.col("least")) & (_distance("fp", "least") <= k)).select(F.col("least").alias("a"), F.col("fp").alias("b")))
-    return _merged(now, links(met, now, k))
+    now = _merged(fps.select("fp", F.col("fp").alias("root")), star_links(fps, k))
+    return _merged(now, links(now, k))
+
+
+#: So many least hashes of a text's shingles name it, two at a time.
+LEAST = 6
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, sha, fp, sid, n, grams): the SHA-256 of the text, the fingerprint, a hash that equal sets share, and the n different shingles' hashes in order, as signed longs."""
+    """(key, sha, fp, n, names, grams): the SHA-256 of the text, the fingerprint, the n different shingles' hashes in order, as signed longs, and a hash of each two of the LEAST first ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(parts: list[np.ndarray]) -> pa.Array:
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 hashes = [shingles(x.as_py(), shingle) for x in part.column(2)]
                 fps = np.fromiter((majority(h) for h in hashes), dtype=np.uint64, count=len(hashes))
                 sets = [np.unique(h.view(np.int64)) for h in hashes]
-                sids = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), dtype=np.uint64, count=len(sets))
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array(sids.view(np.int64)), pa.array(np.diff(ends)), grams], names=["key", "sha", "fp", "sid", "n", "grams"])
+                names = []
+                for x in sets:
+                    first = [v.tobytes() for v in x[:LEAST]]
+                    two = [a + b for i, a in enumerate(first) for b in first[i + 1 :]] or first
+                    names.append(np.array([xxhash.xxh64_intdigest(t, SEED) for t in two], dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists(names), lists(sets)], names=["key", "sha", "fp", "n", "names", "grams"])
 
     pairs = docs.select(F.col(key).alias("key"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
-    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, sha string, fp long, sid long, n int, grams array<long>")
-
+    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, sha string, fp long, n int, names array<long>, grams array<long>")
 
-def _head(jaccard: float) -> Column:
-    """How many of a set's n members, the first in any order that all sets share, hold one that each similar set has among its own first."""
-    return F.col("n") - F.ceil(F.col("n") * jaccard - 1e-9).cast("int") + 1
 
+def similar_links(sets: DataFrame, groups: DataFrame, jaccard: float) -> DataFrame:
+    """(a, b): different roots of groups (fp, root) that two sets of (doc, fp, n, names, grams) of exact Jaccard similarity jaccard or more connect.
 
-def shared_sets(sets: DataFrame, jaccard: float) -> DataFrame:
-    """(doc, fp, n, posted, grams) for the sets of (doc, fp, sid, n, grams) that can be similar to another; of equal sets one.
-
-    First those stay that have a member of their head, by hash, in common with
-    another head; then those of whose members a share of jaccard is in other
-    sets too. Both hold for all similar pairs. grams are then only the members
-    that others have, posted those of the head by rarity, so that what is in
-    many texts is compared only where there is little else. Whole sets are read
-    again for those that are left, and don't move before.
-    """
-    first = sets.filter("n > 0").select("sid", F.explode(F.slice("grams", F.lit(1), _head(jaccard))).alias("gram"))
-    common = first.groupBy("gram").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("gram")
-    live = first.join(common.hint("merge"), "gram", "left_semi").select("sid").distinct()
-    one = sets.filter("n > 0").groupBy("fp", "sid").agg(F.min("doc").alias("doc"))
-    live = written(one.join(live.hint("merge"), "sid", "left_semi").select("doc"), "live")
-    every = written(sets.join(live, "doc", "left_semi").select("doc", "fp", "n", F.explode("grams").alias("gram")), "members")
-    often = every.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = every.join(often.hint("merge"), "gram").groupBy("doc", "fp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
-    alone = F.col("n") - F.size("ranked")
-    kept = ranked.filter(alone < _head(jaccard)).withColumn("grams", F.col("ranked.gram"))
-    return written(kept.select("doc", "fp", "n", F.slice("grams", F.lit(1), _head(jaccard) - alone).alias("posted"), "grams"), "shared")
-
-
-def similar_links(shared: DataFrame, groups: DataFrame, jaccard: float, star: bool = False) -> DataFrame:
-    """(a, b): roots of groups (fp, root) that two sets of exact Jaccard similarity jaccard or more connect.
-
-    star: only pairs with the smallest set that posts the same member, which
-    joins most of a dense group without all of its pairs.
+    Sets are compared with the smallest and the largest of those that share a
+    name with them. Sets as similar as that share a name but for one in some
+    hundred pairs, and a name shared by many texts costs a row for each of them.
     """
-    own = shared.join(groups, "fp").select("doc", "n", "root", F.explode("posted").alias("gram"))
-    if star:
-        least = own.groupBy("gram").agg(F.min(F.struct("n", "doc", "root")).alias("r")).select("gram", F.col("r.n").alias("rn"), F.col("r.doc").alias("rdoc"), F.col("r.root").alias("rroot"))
-        met = own.join(least.hint("merge"), "gram").filter("root != rroot")
-    else:
-        mixed = own.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("gram")
-        own = own.join(mixed.hint("merge"), "gram", "left_semi").select("doc", "n", "root", "gram")
-        other = own.toDF("rdoc", "rn", "rroot", "rgram")
-        met = own.hint("merge").join(other, (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9))
+    own = sets.join(groups, "fp").select("doc", "n", "root", F.explode("names").alias("name"))
+    ends = own.groupBy("name").agg(F.min(F.struct("n", "doc", "root")).alias("first"), F.max(F.struct("n", "doc", "root")).alias("last"))
+    ends = ends.select("name", F.explode(F.array("first", "last")).alias("r")).select(F.col("name").alias("rname"), F.col("r.n").alias("rn"), F.col("r.doc").alias("rdoc"), F.col("r.root").alias("rroot")).distinct()
+    met = own.join(ends.hint("merge"), (F.col("name") == F.col("rname")) & (F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9))
     pairs = met.select("doc", "n", "root", "rdoc", "rn", "rroot").distinct()
-    grams = shared.select("doc", "grams")
-    both = pairs.join(grams.hint("merge"), "doc").join(grams.select(F.col("doc").alias("rdoc"), F.col("grams").alias("rgrams")).hint("merge"), "rdoc")
+    grams = sets.select("doc", "grams")
+    both = pairs.join(grams, "doc").join(grams.select(F.col("doc").alias("rdoc"), F.col("grams").alias("rgrams")), "rdoc")
     inter = F.size(F.array_intersect("grams", "rgrams"))
     return both.filter(inter / (F.col("n") + F.col("rn") - inter) >= jaccard).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
 
@@ -215,15 +192,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """One row per row of docs: key, fingerprint, component_id as simhash_components has them, group (a number of the component) and sha (of the text).
 
     Texts whose sets of shingles have an exact Jaccard similarity of jaccard or
-    more are linked too, however far apart their fingerprints are.
+    more are linked too where similar_links finds them, however far apart their
+    fingerprints are.
     """
     sets = written(shingle_sets(docs, key, text, shingle).withColumn("doc", F.monotonically_increasing_id()), "sets")
     made = sets.select("key", "sha", "fp")
     nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     now = grouped(nodes.select("fp"), k)
-    shared = shared_sets(sets, jaccard)
-    for star in (True, False):
-        now = _merged(now, similar_links(shared, now, jaccard, star))
+    now = _merged(now, similar_links(sets, now, jaccard))
     return _answers(made, nodes, now, key, "group", "sha")
 
 
