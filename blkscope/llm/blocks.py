@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -50,3 +51,33 @@ def dealt(docs: DataFrame, blocks: int, pack: Callable[[str], bytes], key: str =
 def unpacked(packed: pa.ChunkedArray) -> Iterator[bytes]:
     expand = zstandard.ZstdDecompressor().decompress
     return (expand(x.as_py()) for x in packed)
+
+
+def bundled(rows: DataFrame, blocks: int, pack: Callable[[str], str]) -> DataFrame:
+    """(block, bundle) for rows whose columns begin with key and end with text; a bundle holds those rows of a batch that are of one block, texts packed, and is compressed as a whole."""
+    wide = rows.select(block_of("key", "text", blocks).alias("block"), *rows.columns[:-1], text_of("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            texts = pa.array((pack(x.as_py()) for x in batch.column(batch.num_columns - 1)), pa.string())
+            own = pa.RecordBatch.from_arrays([*batch.columns[1:-1], texts], names=batch.schema.names[1:])
+            names, bundles = [], []
+            for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_batch(own.take(pa.array(part)))
+                names.append(int(block[part[0]]))
+                bundles.append(compress(sink.getvalue().to_pybytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bundles, pa.binary())], names=["block", "bundle"])
+
+    out = wide.mapInArrow(run, "block int, bundle binary")
+    return out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+
+
+def opened(bundles: pa.ChunkedArray) -> pa.Table | None:
+    """The rows of bundles; None without any."""
+    tables = [pa.ipc.open_stream(raw).read_all() for raw in unpacked(bundles)]
+    return pa.concat_tables(tables) if tables else None

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import block_of, count_blocks, dealt, unpacked
+from .blocks import block_of, bundled, count_blocks, opened
 from .common import text_of, written
 
 #: Characters of an n-gram; what stands before and behind a text.
@@ -120,30 +121,40 @@ class Numbered:
             rest.append(np.unique(x[slots[at] != x]))
         return np.union1d(slots[slots != none], np.concatenate(rest))
 
-    def places(self, distinct: np.ndarray) -> np.ndarray:
-        """For each place the index of its n-gram among distinct, which are in order; any index where it spans two texts."""
+    def places(self, distinct: np.ndarray) -> Iterator[np.ndarray]:
+        """For each place the index of its n-gram among distinct, which are in order, PIECE at a time; any index where it spans two texts."""
         bits = max(10, (8 * len(distinct)).bit_length())
         shift = np.uint64(64 - bits)
         table = np.zeros(1 << bits, dtype=np.int32)
         table[(distinct * ODD) >> shift] = np.arange(len(distinct), dtype=np.int32)
-        out = [np.empty(0, dtype=np.int32)]
         for x in self.numbers():
             at = table[(x * ODD) >> shift]
             other = np.flatnonzero(distinct[at] != x)
             at[other] = np.minimum(np.searchsorted(distinct, x[other]), len(distinct) - 1)
-            out.append(at)
-        return np.concatenate(out)
+            yield at
+
+    def counts(self, distinct: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """How often some of the texts, told by flags, have each of the n-grams."""
+        wanted = np.repeat(some, np.diff(self.stops, prepend=0))[: max(0, len(self.codes) - ORDER + 1)] & ~self.spans()
+        out = np.zeros(len(distinct), dtype=np.int64)
+        for k, x in enumerate(self.places(distinct)):
+            out += np.bincount(x[wanted[k * PIECE : k * PIECE + len(x)]], minlength=len(distinct))
+        return out
 
-    def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its number of n-grams and the sum of values, one for each place."""
-        true = ~self.spans()
-        ends = np.maximum(0, self.stops - ORDER + 1)
-        count, total = (np.concatenate(([0], np.cumsum(x))) for x in (true, np.where(true, values, 0.0)))
-        begins = np.concatenate(([0], self.stops[:-1]))
-        ends = np.maximum(ends, begins)
-        begins = np.minimum(begins, len(true))
-        ends = np.minimum(ends, len(true))
-        return count[ends] - count[begins], total[ends] - total[begins]
+    def sums(self, distinct: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its number of n-grams and the sum of their values."""
+        count, total = np.zeros(len(self.stops), dtype=np.int64), np.zeros(len(self.stops))
+        lengths = np.diff(self.stops, prepend=0)
+        full = np.flatnonzero(lengths)
+        begins, spans, at = (self.stops - lengths)[full], self.spans(), 0
+        for x in self.places(distinct):
+            true = ~spans[at : at + len(x)]
+            first, last = np.searchsorted(begins, at, side="right") - 1, np.searchsorted(begins, at + len(x))
+            edges = np.maximum(begins[first:last] - at, 0)
+            total[full[first:last]] += np.add.reduceat(np.where(true, values[x], 0.0), edges)
+            count[full[first:last]] += np.add.reduceat(true.astype(np.int64), edges)
+            at += len(x)
+        return count, total
 
 
 def _roles(known: pa.Table) -> dict:
@@ -154,15 +165,11 @@ def asked_grams(mine: DataFrame, roles: DataFrame) -> DataFrame:
     """(block, no, gram, n): each block's distinct n-grams with their numbers there, and how often its documents with the role train have them."""
 
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
-        role = _roles(known)
-        texts = [raw.decode() for raw in unpacked(own.column("packed"))]
-        grams = Numbered(texts)
+        role, docs = _roles(known), opened(own.column("bundle"))
+        grams = Numbered(docs.column("text").to_pylist() if docs else [])
         distinct = grams.distinct()
-        counts = np.zeros(len(distinct), dtype=np.int64)
-        mine = np.fromiter((role.get(k) == "train" for k in own.column("key").to_pylist()), dtype=bool, count=len(texts))
-        if len(distinct) and mine.any():
-            trained = np.repeat(mine, [len(t) for t in texts])[: len(grams.codes) - ORDER + 1]
-            counts = np.bincount(grams.places(distinct)[trained & ~grams.spans()], minlength=len(distinct))
+        mine = np.array([role.get(k) == "train" for k in docs.column("key").to_pylist()] if docs else [], dtype=bool)
+        counts = grams.counts(distinct, mine) if mine.any() else np.zeros(len(distinct), dtype=np.int64)
         block = own.column("block")[0].as_py() if own.num_rows else known.column("block")[0].as_py()
         n = len(distinct)
         return pa.table({"block": pa.array(np.full(n, block, dtype=np.int32)), "no": pa.array(distinct.view(np.int64)), "gram": pa.array(grams.strings(distinct), pa.string()), "n": pa.array(counts, pa.int64())})
@@ -243,13 +250,13 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
 
-    def pack(x: str) -> bytes:
+    def pack(x: str) -> str:
         u = units(x)
-        return (u if len(u) > ORDER + (u[ORDER - 1 : ORDER] == " ") else "").encode()
+        return u if len(u) > ORDER + (u[ORDER - 1 : ORDER] == " ") else ""
 
-    rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.sha2(text_of(text), 256).alias("sha"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.unhex(F.sha2(text_of(text), 256)).alias("sha"), F.col(text).alias("text"))
     blocks = count_blocks(docs, text, block_bytes)
-    mine = dealt(rows, blocks, pack, "key", "text", ("lang", "sha"))
+    mine = bundled(rows, blocks, pack)
     keys = rows.filter("key IS NOT NULL").select(block_of("key", "text", blocks).alias("block"), "key").distinct()
     trusted = trusted_keys(labels, key)
     roles = written(keys.join(trusted.withColumn("key", F.col("key").cast(kind)).hint("merge"), "key").select("block", "key", "role"), "roles")
@@ -265,15 +272,20 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     told = shaped(found).unionByName(shaped(roles)).repartition(partitions, "block")
 
+    nothing = pa.table({"key": pa.array([], to_arrow_type(rows.schema["key"].dataType)), **{n: pa.array([], t) for n, t in (("lang", pa.string()), ("sha", pa.string()), ("role", pa.string()), ("n_units", pa.int64()), ("nll", pa.float64()))}})
+
     def score(own: pa.Table, known: pa.Table) -> pa.Table:
-        role = _roles(known)
-        grams = Numbered([raw.decode() for raw in unpacked(own.column("packed"))])
+        role, docs = _roles(known), opened(own.column("bundle"))
+        if docs is None:
+            return nothing
+        grams = Numbered(docs.column("text").to_pylist())
         no, logp = (known.column(c).drop_null().to_numpy() for c in ("no", "logp"))
         order = np.argsort(no)
         distinct, logp = no[order].view(np.uint64), logp[order]
-        n, total = grams.sums(logp[grams.places(distinct)] if len(distinct) else np.empty(max(0, len(grams.codes) - ORDER + 1)))
-        keys = own.column("key")
-        return pa.table({"key": keys, "lang": own.column("lang"), "sha": own.column("sha"), "role": pa.array([role.get(k) for k in keys.to_pylist()], pa.string()), "n_units": pa.array(n, pa.int64()), "nll": pa.array(-total, pa.float64())})
+        n, total = grams.sums(distinct, logp)
+        keys = docs.column("key")
+        sha = pa.array([x.hex() for x in docs.column("sha").to_pylist()], pa.string())
+        return pa.table({"key": keys, "lang": docs.column("lang"), "sha": sha, "role": pa.array([role.get(k) for k in keys.to_pylist()], pa.string()), "n_units": pa.array(n, pa.int64()), "nll": pa.array(-total, pa.float64())})
 
     return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"key {kind}, lang string, sha string, role string, n_units long, nll double").withColumnRenamed("key", key)
 

@@ -91,9 +91,12 @@ def test_numbers_tell_all_ngrams_apart(monkeypatch):
             strings = made.strings(distinct)
             assert sorted(strings) == sorted(set(want)) and (len(many + few) != len(texts) or made._front is not None)
             if want:
-                at = made.places(distinct)[~made.spans()]
+                at = np.concatenate(list(made.places(distinct)))[~made.spans()]
                 assert [strings[k] for k in at] == want
-                n, total = made.sums(np.ones(len(made.spans())))
+                n, total = made.sums(distinct, np.ones(len(distinct)))
+                flags = np.arange(len(texts)) % 2 == 0
+                some = Counter(g for t, f in zip(texts, flags) if f for g in Q.grams(t))
+                assert {g: c for g, c in zip(strings, made.counts(distinct, flags).tolist()) if c} == some
                 assert n.tolist() == total.tolist() == [len(Q.grams(t)) for t in texts]
 
 
