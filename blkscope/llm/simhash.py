@@ -173,8 +173,10 @@ def similar_links(sets: DataFrame, groups: DataFrame, jaccard: float) -> DataFra
     ends = own.groupBy("name").agg(F.min(F.struct("n", "doc", "root")).alias("first"), F.max(F.struct("n", "doc", "root")).alias("last"))
     ends = ends.select("name", F.explode(F.array("first", "last")).alias("r")).select(F.col("name").alias("rname"), F.col("r.n").alias("rn"), F.col("r.doc").alias("rdoc"), F.col("r.root").alias("rroot")).distinct()
     met = own.join(ends.hint("merge"), (F.col("name") == F.col("rname")) & (F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9))
-    pairs = met.select("doc", "n", "root", "rdoc", "rn", "rroot").distinct()
-    grams = sets.select("doc", "grams")
+    pairs = written(met.select("doc", "n", "root", "rdoc", "rn", "rroot").distinct(), "pairs")
+    # whole sets move for candidates only
+    asked = written(pairs.select("doc").union(pairs.select("rdoc")).distinct(), "asked")
+    grams = sets.select("doc", "grams").join(asked, "doc", "left_semi")
     both = pairs.join(grams, "doc").join(grams.select(F.col("doc").alias("rdoc"), F.col("grams").alias("rgrams")), "rdoc")
     inter = F.size(F.array_intersect("grams", "rgrams"))
     return both.filter(inter / (F.col("n") + F.col("rn") - inter) >= jaccard).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
