@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SEND, UNIT_BYTES
-from ..sources.parse import ROWS
+from ..sources.parse import ROWS, groups_of
 from ..sources.patterns import Registry
 
 
@@ -22,7 +22,8 @@ def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_events(lines: DataFrame, kind: str, registry: Registry | None = None) -> DataFrame:
     """Events of one kind as they come."""
-    row = ROWS[kind](F.col("line"), (registry or Registry()).active_pattern(kind))
+    pattern = (registry or Registry()).active_pattern(kind)
+    row = ROWS[kind](groups_of(F.col("line"), pattern), pattern)
     return lines.select("trace", row.alias("e")).filter(F.col("e").isNotNull()).select("trace", "e.*")
 
 
