@@ -30,7 +30,7 @@ START, END = "\x02", "\x03"
 
 #: Texts of a block; n-grams that are compared at once.
 BLOCK_BYTES = 8 << 20
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Spreads numbers over slots.
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -55,9 +55,12 @@ class Numbered:
 
     def __init__(self, texts: list[str]) -> None:
         """texts as units() makes them."""
-        self.codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         self.stops = np.cumsum(lengths)
+        # text by text: joined, a block with one far character would be four times its size once more
+        self.codes = np.empty(int(lengths.sum()), dtype="<u4")
+        for text, n, stop in zip(texts, lengths.tolist(), self.stops.tolist()):
+            self.codes[stop - n : stop] = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
         have = np.zeros(0x110000, dtype=bool)
         have[self.codes] = True
         self.alphabet = np.flatnonzero(have).astype("<u4")
@@ -110,7 +113,7 @@ class Numbered:
     def distinct(self) -> np.ndarray:
         """The different numbers of n-grams, in order. Most are found by their slot in a table; those whose slot is another's are sorted."""
         spans, none = self.spans(), np.uint64((1 << 64) - 1)
-        bits = max(10, min(22, (2 * len(self.codes)).bit_length()))
+        bits = max(10, min(21, (2 * len(self.codes)).bit_length()))
         slots = np.full(1 << bits, none, dtype=np.uint64)
         rest = [np.empty(0, dtype=np.uint64)]
         for k, x in enumerate(self.numbers()):

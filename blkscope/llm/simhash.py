@@ -27,16 +27,18 @@ BITS, SEED = 64, 42
 
 def shingles(text: str, shingle: int) -> np.ndarray:
     """The XXH64 of each run of shingle words, or of all words if they are fewer; no words: none."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
+    joined = b" ".join(text.encode("utf-8", "replace").lower().split())
+    if not joined:
         return np.zeros(0, dtype="<u8")
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate(([0], ends[: n - 1])).tolist()
-    stops = (ends[-n:] - 1).tolist()
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32), len(joined))
+    n = max(1, len(ends) - shingle + 1)
+    starts, stops = np.concatenate(([0], ends[: n - 1] + 1)), ends[-n:]
+    out = np.empty(n, dtype="<u8")
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n)
+    for at in range(0, n, 65536):
+        places = zip(starts[at : at + 65536].tolist(), stops[at : at + 65536].tolist())
+        out[at : at + 65536] = [digest(joined[a:b], SEED) for a, b in places]
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
