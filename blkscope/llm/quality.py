@@ -313,9 +313,9 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return _judged(written(perplexities(docs, labels, key, text, lang, block_bytes), "perplexities"), key, quantile, prior).drop("sha")
 
 
-def rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def rejected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, sha) of rows that quality does not keep; none of those of which a repetition is kept."""
-    judged = _judged(written(perplexities(docs, labels, key, text, lang), "perplexities"), key, QUANTILE, PRIOR)
+    judged = _judged(written(perplexities(docs, labels, key, text, lang, block_bytes), "perplexities"), key, QUANTILE, PRIOR)
     return judged.groupBy(F.col(key).alias("key"), "sha").agg(F.max("keep").alias("keep")).filter("NOT keep").select("key", "sha")
 
 

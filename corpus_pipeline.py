@@ -20,6 +20,9 @@ from blkscope.llm.queries import TOKENIZER
 #: of the sets of shingles from which texts are near duplicates at any number of bits.
 SHINGLE, BITS, JACCARD = 5, 4, 0.8
 
+#: Texts of a quality block. Python workers keep what a block took of them for the stages after, so blocks are smaller here.
+QUALITY_BLOCK_BYTES = 4 << 20
+
 
 def _rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose key and text are among gone's (key, sha); texts that differ under one key are told apart.
@@ -39,7 +42,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     doc_id are judged like others; of rows that repeat doc_id and text all stay
     if one does. No rows: no rows.
     """
-    return _rows_without(docs, quality.rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _rows_without(docs, quality.rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), block_bytes=QUALITY_BLOCK_BYTES))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
