@@ -94,26 +94,46 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _once(a: str, b: str, wild: str, k: int) -> Column:
+    """Of the variants that two fingerprints share: whether this is the one of the first segment that differs in at most one bit, with that bit wild (the segment's first if none differs)."""
+    x, ways, before = f"({a} ^ {b})", [], ""
+    for first, n in _segments(k):
+        part = f"{x} & {_signed(((1 << n) - 1) << first)}L"
+        ways.append(f"({wild} BETWEEN {first} AND {first + n - 1}{before} AND (bit_get({x}, {wild}) = 1 OR ({wild} = {first} AND ({part}) = 0)))")
+        before += f" AND bit_count({part}) > 1"
+    return F.expr(" OR ".join(ways))
+
+
 def links(groups: DataFrame, k: int) -> DataFrame:
     """(a, b), a < b: different roots of (fp, root) that fingerprints at no more than k differing bits connect.
 
-    A pair may come several times. Candidates are compared inside the join, and
-    only links leave it.
+    Each two fingerprints give at most one row, those of two roots may give
+    several. Candidates are compared inside the join, and only links leave it.
     """
     index = variants_of(groups, k).drop("seg")
     other = index.select(F.col("wild").alias("w"), F.col("value").alias("v"), F.col("fp").alias("other"), F.col("root").alias("rroot"))
-    met = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k)
+    met = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k) & _once("fp", "other", "wild", k)
     # the variants are many times what Spark takes their size for, so it must not choose to broadcast them
     return index.hint("merge").join(other, met).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
 
 
 def star_links(fps: DataFrame, k: int) -> DataFrame:
-    """(a, b): each fingerprint with the least and the largest of those that share a whole segment with it, where they differ in at most k bits."""
+    """(a, b): each fingerprint with the hub of those that share a whole segment with it, where they differ in at most k bits.
+
+    The hub is the one that is nearest to the majority of each of their bits:
+    copies of one text with some words changed lie around that text.
+    """
     parts = F.array(*[F.struct(F.lit(s).cast("byte").alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << n) - 1) << a))).alias("value")) for s, (a, n) in enumerate(_segments(k))])
     index = fps.select("fp", F.explode(parts).alias("p")).select("fp", "p.seg", "p.value")
-    ends = index.groupBy("seg", "value").agg(F.min("fp").alias("least"), F.max("fp").alias("most"))
-    met = index.join(ends.hint("merge"), ["seg", "value"]).select("fp", F.explode(F.array("least", "most")).alias("end"))
-    return met.filter((F.col("fp") != F.col("end")) & (_distance("fp", "end") <= k)).select(F.col("fp").alias("a"), F.col("end").alias("b"))
+    bits = [F.sum(F.expr(f"CAST(bit_get(fp, {i}) AS LONG)")).alias(f"bit{i}") for i in range(BITS)]
+    sums = index.groupBy("seg", "value").agg(F.count("*").alias("n"), *bits).filter("n > 1")
+    centre = F.expr(" | ".join(f"IF(bit{i} * 2 > n, {_signed(1 << i)}L, 0L)" for i in range(BITS)))
+    centres = written(sums.select("seg", "value", centre.alias("centre")), "centres")
+    # apart, so that the join can split a large segment and the least are taken before they move
+    members = written(index.join(centres.hint("merge"), ["seg", "value"]).select("seg", "value", "fp", _distance("fp", "centre").alias("far")), "members")
+    hubs = members.groupBy("seg", "value").agg(F.min(F.struct("far", "fp")).alias("hub")).select("seg", "value", F.col("hub.fp").alias("hub"))
+    met = members.join(hubs.hint("merge"), ["seg", "value"])
+    return met.filter((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= k)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
 def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
@@ -125,9 +145,9 @@ def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
 def grouped(fps: DataFrame, k: int) -> DataFrame:
     """(fp, root): equal roots for fingerprints that links of at most k differing bits connect, directly or over others.
 
-    First each fingerprint is linked to the least and the largest one of each
-    of its segments, which puts most of a dense group together by a few rows for
-    each of its members; then all pairs whose groups still differ are found by
+    First each fingerprint is linked to the hub of each of its segments, which
+    puts most of a dense group together by a few rows for each of its members;
+    then all pairs whose groups still differ are found by
     the variants. The pairs within a group, which grow with its square, never
     leave the join.
     """
