@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, text_of
+from .common import blocks_for, text_of, tidy_map
 
 BLOCK_BYTES = 16 << 20
 
@@ -44,7 +44,7 @@ def dealt(docs: DataFrame, blocks: int, pack: Callable[[str], bytes], key: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "packed"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    out = rows.mapInArrow(run, f"{fields}, packed binary")
+    out = rows.mapInArrow(tidy_map(run), f"{fields}, packed binary")
     return out.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
 
 
@@ -73,7 +73,7 @@ def bundled(rows: DataFrame, blocks: int, pack: Callable[[str], str]) -> DataFra
                 bundles.append(compress(sink.getvalue().to_pybytes()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(bundles, pa.binary())], names=["block", "bundle"])
 
-    out = wide.mapInArrow(run, "block int, bundle binary")
+    out = wide.mapInArrow(tidy_map(run), "block int, bundle binary")
     return out.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .blocks import block_of, bundled, count_blocks, opened
-from .common import text_of, written
+from .common import text_of, tidy_pair, written
 
 #: Characters of an n-gram; what stands before and behind a text.
 ORDER = 4
@@ -177,7 +177,7 @@ def asked_grams(mine: DataFrame, roles: DataFrame) -> DataFrame:
         n = len(distinct)
         return pa.table({"block": pa.array(np.full(n, block, dtype=np.int32)), "no": pa.array(distinct.view(np.int64)), "gram": pa.array(grams.strings(distinct), pa.string()), "n": pa.array(counts, pa.int64())})
 
-    return mine.groupBy("block").cogroup(roles.groupBy("block")).applyInArrow(run, "block int, no long, gram string, n long")
+    return mine.groupBy("block").cogroup(roles.groupBy("block")).applyInArrow(tidy_pair(run), "block int, no long, gram string, n long")
 
 
 def all_counts(grams: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         sha = pa.array([x.hex() for x in docs.column("sha").to_pylist()], pa.string())
         return pa.table({"key": keys, "lang": docs.column("lang"), "sha": sha, "role": pa.array([role.get(k) for k in keys.to_pylist()], pa.string()), "n_units": pa.array(n, pa.int64()), "nll": pa.array(-total, pa.float64())})
 
-    return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"key {kind}, lang string, sha string, role string, n_units long, nll double").withColumnRenamed("key", key)
+    return mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidy_pair(score), f"key {kind}, lang string, sha string, role string, n_units long, nll double").withColumnRenamed("key", key)
 
 
 #: Quantile of the trusted documents of a language beyond which a document is rejected; what is added to it

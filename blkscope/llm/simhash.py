@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import text_of, tidy_map, written
 from .components import components
 
 BITS, SEED = 64, 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["key", "fp"])
 
     pairs = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, fp long")
+    return pairs.mapInArrow(tidy_map(run), f"key {dict(pairs.dtypes)['key']}, fp long")
 
 
 def _segments(k: int) -> list[tuple[int, int]]:
@@ -181,7 +181,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists(names), lists(sets)], names=["key", "sha", "fp", "n", "names", "grams"])
 
     pairs = docs.select(F.col(key).alias("key"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
-    return pairs.mapInArrow(run, f"key {dict(pairs.dtypes)['key']}, sha string, fp long, n int, names array<long>, grams array<long>")
+    return pairs.mapInArrow(tidy_map(run), f"key {dict(pairs.dtypes)['key']}, sha string, fp long, n int, names array<long>, grams array<long>")
 
 
 def similar_links(sets: DataFrame, groups: DataFrame, jaccard: float) -> DataFrame:
