@@ -67,9 +67,9 @@ def sliced(keyed: DataFrame, bucket_rows: int | None) -> tuple[DataFrame, bool]:
     return found.withColumn(BUCKET, slice_of(F.col(KEY), F.col("__limits"))).drop("__t", "__limits"), False
 
 
-def ordered(df: DataFrame, time: str = "time", head: int | None = HEAD, bucket_rows: int | None = BUCKET_ROWS) -> tuple[DataFrame, bool]:
-    """df with __key and __bucket: rows of a trace are in order by (__bucket, __key, seq); and whether every trace is one bucket."""
-    flags = needs_sort(df, time, head).select(F.col(TRACE).alias("__t"), "sorted")
+def ordered(df: DataFrame, time: str = "time", head: int | None = HEAD, bucket_rows: int | None = BUCKET_ROWS, flags: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """df with __key and __bucket: rows of a trace are in order by (__bucket, __key, seq); and whether every trace is one bucket. flags: what needs_sort would tell, where it is known."""
+    flags = (needs_sort(df, time, head) if flags is None else flags).select(F.col(TRACE).alias("__t"), "sorted")
     keyed = df.join(flags, F.col(TRACE) == F.col("__t")).withColumn(KEY, F.when(F.col("sorted"), F.col(time)).otherwise(F.col("seq").cast("double"))).drop("__t", "sorted")
     return sliced(keyed, bucket_rows)
 
