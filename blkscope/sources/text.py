@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 HEAD = 8192
 
+#: Encodings of two bytes a unit, by Spark's names.
+WIDE = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE"}
+
 
 def encoding_of(head: bytes) -> str:
     """The encoding that the first bytes of a log tell; a character that the end cuts in two counts as whole."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
         if head.startswith(mark):
             return name
     try:
@@ -50,7 +53,7 @@ def read_log(spark: SparkSession, path: str | list[str], strict: bool = False) -
 
     trace is the file's name. Logs in CP949 are split too, as no character of it
     holds the byte of a line end; their lines are decoded in Arrow batches.
-    Those in UTF-16 are read by a task each. Bytes further on that are no UTF-8
+    So are those in UTF-16, see _wide_lines. Bytes further on that are no UTF-8
     become U+FFFD, or with strict are an error.
     """
     found = encodings(spark, path)
@@ -60,8 +63,9 @@ def read_log(spark: SparkSession, path: str | list[str], strict: bool = False) -
         parts.append(_numbered(spark, plain, F.regexp_replace(text, r"^\x{FEFF}|\r\z", "")))
     if other := found.get("cp949"):
         parts.append(_decoded_lines(_numbered(spark, other, F.col("value").cast("binary")), "cp949"))
-    if wide := found.get("utf-16"):
-        parts.append(read_encoded(spark, wide, "utf-16"))
+    for encoding in WIDE:
+        if wide := found.get(encoding):
+            parts.append(_wide_lines(spark, wide, encoding))
     if not parts:
         return spark.createDataFrame([], "trace string, line_no long, line string")
     return reduce(DataFrame.unionByName, parts)
@@ -92,6 +96,47 @@ def _numbered(spark: SparkSession, path: str | list[str], line: Column) -> DataF
     return out.select(F.element_at(F.split("__file", "/"), -1).alias("trace"), (F.col("__at") - F.col("first") + F.col("before") + 1).alias("line_no"), "line")
 
 
+def _wide_lines(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    """The lines of UTF-16 logs with their numbers, from any splits of the files.
+
+    A split's reader looks for the two bytes of a line end at any place, so it
+    can take the second byte of one unit and the first of the next for one. What
+    it cuts there has an odd number of bytes. Whether a piece begins in the middle of a
+    unit is told by the odd pieces before it in its file: their number in
+    each split is scanned in order, one row a split, and within a split by a
+    window. A piece that does is put back to the one before it; as a rule there
+    are none, and then no lines are grouped.
+    """
+    rows = spark.read.option("encoding", WIDE[encoding]).option("lineSep", "\n").text(paths)
+    rows = rows.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.col("value").cast("binary").alias("raw"))
+    odd = (F.octet_length("raw") % 2).cast("long")
+    sizes = rows.groupBy("__file", "__start").agg(F.count("*").alias("n"), F.sum(odd).alias("odd"), F.min("__at").alias("first"))
+    earlier = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = sizes.select(F.col("__file").alias("f"), F.col("__start").alias("s"), "first", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "odd")], F.sum("odd").over(Window.partitionBy("__file")).alias("odds"))
+    found = rows.join(splits, (F.col("__file") == F.col("f")) & (F.col("__start") == F.col("s")))
+    found = found.select("__file", "__start", "raw", (F.col("__at") - F.col("first") + F.col("n_before")).alias("place"), "odd_before", "odds")
+    whole = found.filter("odds = 0").select("__file", (F.col("place") + 1).alias("line_no"), "raw")
+    name = F.element_at(F.split("__file", "/"), -1).alias("trace")
+    if sizes.agg(F.sum("odd")).first()[0]:
+        whole = whole.unionByName(_put_back(found.filter("odds > 0"), odd, encoding))
+    lines = _decoded_lines(whole.select(name, "line_no", F.col("raw").alias("line")), encoding)
+    return lines.withColumn("line", F.regexp_replace("line", r"^\x{FEFF}", ""))
+
+
+def _put_back(pieces: DataFrame, odd: Column, encoding: str) -> DataFrame:
+    """The lines of files that have pieces cut in the middle of a unit."""
+    before = Window.partitionBy("__file", "__start").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("inside", (F.col("odd_before") + F.coalesce(F.sum(odd).over(before), F.lit(0))) % 2)
+    ends = pieces.groupBy("__file", "__start").agg(F.sum(1 - F.col("inside")).alias("lines"))
+    earlier = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("__file").alias("f"), F.col("__start").alias("s"), F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("lines_before"))
+    upto = Window.partitionBy("__file", "__start").orderBy("place")
+    pieces = pieces.join(ends, (F.col("__file") == F.col("f")) & (F.col("__start") == F.col("s"))).withColumn("line_no", F.col("lines_before") + F.sum(1 - F.col("inside")).over(upto))
+    cut = "\n".encode(encoding).hex().upper()
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.hex("raw").alias("h")))), lambda p: p["h"]), cut)
+    return pieces.groupBy("__file", "line_no").agg(F.unhex(joined).alias("raw"))
+
+
 def read_encoded(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
     """Lines of logs in another encoding: a file is decoded by one task, so only for files that fit one.
 

@@ -95,7 +95,7 @@ def test_encodings_are_told(spark, tmp_path):
     lines = [korean.format(k, k) for k in range(3000)]
     for name, encoding in (("a.log", "cp949"), ("b.log", "utf-8"), ("c.log", "utf-16"), ("d.log", "utf-8-sig")):
         (tmp_path / name).write_bytes("\r\n".join(lines).encode(encoding))
-    assert {k: len(v) for k, v in text.encodings(spark, str(tmp_path)).items()} == {"cp949": 1, "utf-8": 2, "utf-16": 1}
+    assert {k: len(v) for k, v in text.encodings(spark, str(tmp_path)).items()} == {"cp949": 1, "utf-8": 2, "utf-16-le": 1}
     spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
     try:
         got = text.read_log(spark, str(tmp_path)).collect()
