@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +46,12 @@ def save_arrow(df: DataFrame, path: str) -> str:
 
 
 class Session:
-    """Trace tables kept by name, and jobs that can be cancelled together."""
+    """Trace tables kept by name, and jobs that can be cancelled, each apart or all together."""
 
     def __init__(self, spark: SparkSession, group: str = "blkscope") -> None:
-        self.spark, self.group, self.cancelled = spark, group, False
+        self.spark, self.group, self.cancelled = spark, f"{group}-{uuid.uuid4().hex}", False
         self.kept: dict[str, DataFrame] = {}
+        self.running: set[str] = set()
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         if name not in self.kept:
@@ -58,13 +63,31 @@ class Session:
             df.unpersist()
         self.kept.clear()
 
+    @contextmanager
+    def job(self, name: str = "") -> Iterator[str]:
+        """What this thread starts inside is one job, by the name that this gives; jobs of other threads are others."""
+        tag = f"{self.group}-{name or 'job'}-{uuid.uuid4().hex}"
+        self.spark.addTag(tag)
+        self.running.add(tag)
+        try:
+            yield tag
+        finally:
+            self.running.discard(tag)
+            self.spark.removeTag(tag)
+
     def start(self) -> None:
+        """What this thread starts from now on is cancelled with all; the next start allows jobs again."""
         self.cancelled = False
-        self.spark.sparkContext.setJobGroup(self.group, "trace job", True)
+        self.spark.addTag(self.group)
 
-    def cancel(self) -> None:
+    def cancel(self, job: str | None = None) -> None:
+        """Cancels one job, or all of this session; those of other sessions go on."""
+        if job is not None:
+            self.spark.interruptTag(job)
+            return
         self.cancelled = True
-        self.spark.sparkContext.cancelJobGroup(self.group)
+        for tag in (self.group, *sorted(self.running)):
+            self.spark.interruptTag(tag)
 
 
 def reparse(session: Session, catalog: Catalog, log_id: int, registry: Registry | None = None, **more) -> DataFrame:

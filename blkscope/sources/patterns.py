@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 # The patterns of the three kinds of lines, and the names that their groups must have.
 UFS = r"^\s*(?P<process>.*?)\s+\[(?P<cpu>[0-9]+)\].*?(?P<time>[0-9]+\.[0-9]+):\s+ufshcd_command:\s+(?P<command>send_req|complete_rsp):.*?tag:\s*(?P<tag>\d+).*?size:\s*(?P<size>[-]?\d+).*?LBA:\s*(?P<lba>\d+).*?opcode:\s*(?P<opcode>0x[0-9a-f]+).*?group_id:\s*0x(?P<group_id>[0-9a-f]+).*?hwq_id:\s*(?P<hwq_id>[-]?\d+)"
@@ -126,3 +129,54 @@ def test_pattern(lines: DataFrame, pattern: str, column: str = "line") -> DataFr
 
 
 test_pattern.__test__ = False  # type: ignore[attr-defined]
+
+
+class MatchLine:
+    """A table function (pattern, line): one row with matched, whole, captures and a column for each named group.
+
+    A pattern that is none gives the column error alone, with what is wrong, so that it can be shown like a result.
+    """
+
+    @staticmethod
+    def analyze(pattern: AnalyzeArgument, line: AnalyzeArgument) -> AnalyzeResult:
+        if not isinstance(pattern.value, str):
+            raise ValueError("the pattern must be a constant string")
+        try:
+            groups = sorted(re.compile(pattern.value).groupindex.items(), key=lambda x: x[1])
+        except re.error:
+            return AnalyzeResult(StructType().add("error", StringType()))
+        schema = StructType().add("matched", BooleanType()).add("whole", StringType()).add("captures", ArrayType(StringType()))
+        for name, _ in groups:
+            schema = schema.add(f"{name}_" if name in ("matched", "whole", "captures") else name, StringType())
+        return AnalyzeResult(schema)
+
+    def __init__(self) -> None:
+        self.pattern, self.compiled = None, None
+
+    def eval(self, pattern: str, line: str) -> Iterator[tuple]:
+        if self.pattern != pattern:
+            self.pattern = pattern
+            try:
+                self.compiled = re.compile(pattern)
+            except re.error as e:
+                self.compiled = str(e)
+        if isinstance(self.compiled, str):
+            yield (self.compiled,)
+            return
+        m = self.compiled.search(line) if line is not None else None
+        names = [n for n, _ in sorted(self.compiled.groupindex.items(), key=lambda x: x[1])]
+        yield (m is not None, m[0] if m else None, list(m.groups()) if m else [], *[m[n] if m else None for n in names])
+
+
+def register_match_line(spark: SparkSession, name: str = "match_line") -> str:
+    """Makes the table function known to SQL: SELECT t.* FROM lines, LATERAL match_line('(?P<a>x)', line) t."""
+    spark.udtf.register(name, udtf(MatchLine))
+    return name
+
+
+def matched_lines(lines: DataFrame, pattern: str, column: str = "line") -> DataFrame:
+    """line and the columns of MatchLine for each line that is not blank; for a pattern that is none, line and error."""
+    spark = lines.sparkSession
+    name = register_match_line(spark)
+    rows = lines.selectExpr(f"`{column}` AS line").filter("trim(line) != ''")
+    return spark.sql(f"SELECT l.line, t.* FROM {{rows}} l, LATERAL {name}(:pattern, l.line) t", args={"pattern": pattern}, rows=rows)

@@ -3,26 +3,62 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import TABLES
+from ..operators.order import limits_of, slice_of
+from ..schema import ADDRESS, TABLES, TIME
 
 #: Rows of a file and the text in a file's name that tells its kind, the longer one first.
 FILE_ROWS = 4_000_000
+#: Binary digits of a time's and of an address's slice on the curve of the layout zoom.
+CURVE_BITS = 8
 NAMES = {"ufscustom": "cus", "ufs": "ufs", "block": "block"}
 
 
-def save(df: DataFrame, folder: str, kind: str, mode: str = "append", codec: str = "snappy") -> None:
-    """df under folder/kind, a folder per trace, in order of time within files, so that ranges skip files and row groups."""
+def save(df: DataFrame, folder: str, kind: str, mode: str = "append", codec: str = "snappy", layout: str = "time", group_rows: int | None = None) -> None:
+    """df under folder/kind, a folder per trace. What is read back is the same for any layout; ranges skip other files and row groups.
+
+    layout time: in order of time within files. layout zoom: in order of a curve
+    through cells of time and address, so that a range on the address alone skips
+    about as much as one on time. group_rows: rows of a row group, where Parquet's own size is too coarse.
+    """
     if df.isEmpty():
         raise ValueError("a trace without rows is not saved")
     columns = [c.split()[0] for c in TABLES[kind].split(", ")]
-    time_column = "start_time" if kind == "cus" else "time"
-    rows = df.select(*columns).repartitionByRange("trace", time_column).sortWithinPartitions("trace", time_column, "seq")
-    rows.write.mode(mode).option("compression", codec).option("maxRecordsPerFile", FILE_ROWS).option("partitionOverwriteMode", "dynamic").partitionBy("trace").parquet(f"{folder}/{kind}")
+    rows = df.select(*columns)
+    order = ["trace", TIME[kind], "seq"]
+    if layout == "zoom":
+        rows, order = on_curve(rows, kind), ["trace", "__curve", TIME[kind], "seq"]
+    elif layout != "time":
+        raise ValueError(f"no layout {layout}")
+    rows = rows.repartitionByRange(*order[:-1]).sortWithinPartitions(*order).select(*columns)
+    writer = rows.write.mode(mode).option("compression", codec).option("maxRecordsPerFile", FILE_ROWS).option("partitionOverwriteMode", "dynamic").partitionBy("trace")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(f"{folder}/{kind}")
+
+
+def on_curve(rows: DataFrame, kind: str, bits: int = CURVE_BITS) -> DataFrame:
+    """rows with __curve: the place of its cell of (time, address) on a Z-order curve.
+
+    A trace has 2^bits slices of time and as many of the address with about as
+    many rows each, so that neither a burst nor a hot region fills a cell; an address that
+    very many rows share is one slice, put in order of time within it. Limits of a trace are one row.
+    """
+    axes = {"__x": F.col(TIME[kind]), "__y": F.col(ADDRESS[kind]).cast("double")}
+    places = rows.select("trace", *[v.alias(k) for k, v in axes.items()])
+    limits = places.groupBy(F.col("trace").alias("__t")).agg(*[F.array_distinct(limits_of(k, 1 << bits)).alias(f"{k}_limits") for k in axes])
+    out = rows.join(limits, F.col("trace") == F.col("__t"))
+    x, y = (slice_of(v, F.col(f"{k}_limits")) for k, v in axes.items())
+    out = out.withColumn("__x", x).withColumn("__y", y)
+    bit = [F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("long")), 2 * b + n) for n, c in enumerate((F.col("__x"), F.col("__y"))) for b in range(bits)]
+    return out.withColumn("__curve", reduce(lambda p, q: p.bitwiseOR(q), bit)).drop("__t", "__x", "__y", "__x_limits", "__y_limits")
 
 
 def load(spark: SparkSession, folder: str, kind: str, traces: list[str] | None = None) -> DataFrame:
@@ -95,43 +131,114 @@ def lengths(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in tables.items()])
 
 
+def footer_lengths(spark: SparkSession, folder: str, kinds: list[str], traces: bool = False) -> DataFrame:
+    """(kind, n) of tables at rest, or (kind, trace, n), from the footers of their files: the count is pushed into the scan, no column is read.
+
+    That needs Parquet's second reader, which a session of its own is set to; the caller's is left as it is.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    by = ["trace"] if traces else []
+    return reduce(DataFrame.unionByName, [load(own, folder, k).groupBy(*by).agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), *by, "n") for k in kinds])
+
+
 def shown_kinds(counts: DataFrame) -> DataFrame:
     return counts.filter("n > 0").select("kind")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """A path and the file system that it is on."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class Versions:
+    """Versions of something under a folder, each a name that is written once: who writes a number first has it.
+
+    Stores that create a file only where there is none decide between writers;
+    a local disk looks first and creates then, so there writers of one moment can still meet.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def last(self) -> tuple[int, str]:
+        """The highest number and its name; 0 and an empty name before the first."""
+        at, fs = file_system(self.spark, self.folder)
+        found = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("commit-")) if fs.exists(at) else []
+        return (int(found[-1].removeprefix("commit-")), self.name(int(found[-1].removeprefix("commit-")))) if found else (0, "")
+
+    def name(self, number: int) -> str:
+        at, fs = file_system(self.spark, f"{self.folder}/commit-{number:012d}")
+        for _ in range(100):
+            file = fs.open(at)
+            try:
+                text = bytes(file.readNBytes(4096)).decode()
+            finally:
+                file.close()
+            if text.endswith("\n"):
+                return text.strip()
+            time.sleep(0.05)
+        raise OSError(f"{at.toString()} was not written to its end")
+
+    def claim(self, number: int, name: str) -> bool:
+        """Makes name the version of that number, unless there is one."""
+        at, fs = file_system(self.spark, f"{self.folder}/commit-{number:012d}")
+        try:
+            file = fs.create(at, False)
+        except Py4JJavaError:
+            if fs.exists(at):
+                return False
+            raise
+        try:
+            file.write(bytearray(f"{name}\n".encode()))
+        finally:
+            file.close()
+        return True
+
+
 class Catalog:
-    """A small Parquet table of logs: id, name, path, kind, folder. Each change writes a new version of it."""
+    """A small Parquet table of logs: id, name, path, kind, folder. Each change writes a new version of it.
+
+    Of two writers who start from the same version one is first; the other reads again what that one wrote and makes its change to it.
+    """
 
     SCHEMA = "id long, name string, path string, kinds string, folder string"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self.versions = Versions(spark, self.path)
 
-    def _versions(self) -> list[str]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().toString() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/{name}") if name else self.spark.createDataFrame([], self.SCHEMA)
 
     def table(self) -> DataFrame:
         """The newest version, by id from the newest."""
-        found = self._versions()
-        df = self.spark.read.schema(self.SCHEMA).parquet(found[-1]) if found else self.spark.createDataFrame([], self.SCHEMA)
-        return df.orderBy(F.desc("id"))
-
-    def _write(self, df: DataFrame) -> None:
-        df.coalesce(1).write.parquet(f"{self.path}/v{time.time_ns():020d}")
+        return self._read(self.versions.last()[1]).orderBy(F.desc("id"))
+
+    def _change(self, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Writes what change makes of the newest version, and returns what that was."""
+        while True:
+            number, name = self.versions.last()
+            old, fresh = self._read(name), f"v{uuid.uuid4().hex}"
+            change(old).coalesce(1).write.parquet(f"{self.path}/{fresh}")
+            if self.versions.claim(number + 1, fresh):
+                return old
+            delete_paths(self.spark, [f"{self.path}/{fresh}"])
 
     def add(self, name: str, path: str, kinds: str, folder: str) -> int:
-        old = self.table()
-        new_id = (old.agg(F.max("id")).first()[0] or 0) + 1
-        self._write(old.unionByName(self.spark.createDataFrame([(new_id, name, path, kinds, folder)], self.SCHEMA)))
-        return new_id
+        def added(old: DataFrame) -> DataFrame:
+            last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+            return old.unionByName(last.select((F.col("last") + 1).alias("id"), *[F.lit(v).alias(c) for c, v in (("name", name), ("path", path), ("kinds", kinds), ("folder", folder))]))
+
+        return (self._change(added).agg(F.max("id")).first()[0] or 0) + 1
 
     def update(self, log_id: int, **values: str) -> None:
-        self._write(self.table().withColumns({c: F.when(F.col("id") == log_id, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
+        self._change(lambda old: old.withColumns({c: F.when(F.col("id") == log_id, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
 
     def delete(self, ids: list[int]) -> None:
-        self._write(self.table().filter(~F.col("id").isin(ids)))
+        self._change(lambda old: old.filter(~F.col("id").isin(ids)))
 
 
 def delete_paths(spark: SparkSession, paths: list[str]) -> list[str]:
