@@ -29,16 +29,16 @@ class Range:
     col_to: float | None = None
 
 
-def _given(low: float | None, high: float | None) -> bool:
+def given(low: float | None, high: float | None) -> bool:
     return low is not None and high is not None and not (low == 0 and high == 0)
 
 
 def in_range(kind: str, r: Range) -> Column | None:
     """The condition, or None if nothing is asked. A column that a range can't be on fits no row."""
     out = None
-    if _given(r.time_from, r.time_to):
+    if given(r.time_from, r.time_to):
         out = F.col(TIME[kind]).between(float(r.time_from), float(r.time_to))
-    if _given(r.col_from, r.col_to):
+    if given(r.col_from, r.col_to):
         fits = F.col(r.column).cast("double").between(float(r.col_from), float(r.col_to)) if r.column in RANGE_COLUMNS[kind] else F.lit(False)
         out = fits if out is None else out & fits
     return out

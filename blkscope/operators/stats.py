@@ -46,7 +46,11 @@ def latency_histogram(df: DataFrame, kind: str, column: str, thresholds: list[st
 
 
 def zero_filled(rows: DataFrame, thresholds: list[str]) -> DataFrame:
-    counts = rows.groupBy("trace", "key", "bucket_ord").agg(F.count("*").alias("n"))
+    return zeros_between(rows.groupBy("trace", "key", "bucket_ord").agg(F.count("*").alias("n")), thresholds)
+
+
+def zeros_between(counts: DataFrame, thresholds: list[str]) -> DataFrame:
+    """(trace, key, bucket_ord, bucket, n) from the counts (trace, key, bucket_ord, n) of buckets that have rows; a null bucket tells of a key only."""
     per_key = counts.groupBy("trace", "key").agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket_ord").isNotNull(), F.struct("bucket_ord", "n")))).alias("have"))
     labels = bucket_labels(thresholds)
     filled = per_key.select("trace", "key", "have", F.posexplode(F.array(*[F.lit(x) for x in labels])).alias("bucket_ord", "bucket"))
@@ -136,17 +140,29 @@ def continuity_stats(df: DataFrame, kind: str, r: Range | None = None) -> DataFr
     ufs and block: sends of reads, writes and unmaps. The ratio of bytes of a
     key without any is null for these and 0 for requests.
     """
-    rows = apply_range(df, kind, r)
+    return continuity_told(continuity_rows(apply_range(df, kind, r), kind, ("trace",)).groupBy("trace", "key").agg(*continuity_of()), kind)
+
+
+def continuity_rows(rows: DataFrame, kind: str, more: tuple[str | Column, ...]) -> DataFrame:
+    """(more..., key, continuous, bytes) of the rows that continuity is over."""
     key = F.col("opcode") if kind != "block" else first_char(F.col("io_type"))
     if kind != "cus":
         rows = rows.filter((F.col("action") == SEND[kind]) & key.isin(OPERATIONS[kind]))
-    size = F.col("size") * UNIT_BYTES[kind]
-    sums = rows.select("trace", key.alias("key"), "continuous", size.alias("bytes")).groupBy("trace", "key").agg(
+    return rows.select(*more, key.alias("key"), "continuous", (F.col("size") * UNIT_BYTES[kind]).alias("bytes"))
+
+
+def continuity_of() -> list[Column]:
+    """The aggregates over continuity_rows; they add up."""
+    return [
         F.count_if("continuous").alias("continuous"),
         F.count_if(~F.col("continuous")).alias("non_continuous"),
         F.sum("bytes").alias("total_bytes"),
         F.sum(F.when(F.col("continuous"), F.col("bytes")).otherwise(0)).alias("continuous_bytes"),
-    )
+    ]
+
+
+def continuity_told(sums: DataFrame, kind: str) -> DataFrame:
+    """continuity_stats from the sums of each trace and key."""
     numbers = ["continuous", "non_continuous", "total_bytes", "continuous_bytes"]
     total = sums.groupBy("trace").agg(*[F.sum(c).alias(c) for c in numbers]).withColumn("key", F.lit(None).cast("string"))
     both = sums.unionByName(total)
