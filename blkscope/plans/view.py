@@ -67,27 +67,27 @@ class Session:
     def job(self, name: str = "") -> Iterator[str]:
         """What this thread starts inside is one job, by the name that this gives; jobs of other threads are others."""
         tag = f"{self.group}-{name or 'job'}-{uuid.uuid4().hex}"
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         self.running.add(tag)
         try:
             yield tag
         finally:
             self.running.discard(tag)
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
 
     def start(self) -> None:
         """What this thread starts from now on is cancelled with all; the next start allows jobs again."""
         self.cancelled = False
-        self.spark.addTag(self.group)
+        self.spark.sparkContext.addJobTag(self.group)
 
     def cancel(self, job: str | None = None) -> None:
         """Cancels one job, or all of this session; those of other sessions go on."""
         if job is not None:
-            self.spark.interruptTag(job)
+            self.spark.sparkContext.cancelJobsWithTag(job)
             return
         self.cancelled = True
         for tag in (self.group, *sorted(self.running)):
-            self.spark.interruptTag(tag)
+            self.spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def reparse(session: Session, catalog: Catalog, log_id: int, registry: Registry | None = None, **more) -> DataFrame:

@@ -23,7 +23,7 @@ def test_one_of_two_jobs_is_cancelled(spark):
             except Exception as e:  # noqa: BLE001
                 told[name] = "cancelled" if "cancel" in str(e).lower() else repr(e)
 
-    started = [InheritableThread(target=work, args=a) for a in (("long", 60), ("short", 6))]
+    started = [InheritableThread(target=work, args=a) for a in (("long", 40), ("short", 4))]
     for t in started:
         t.start()
     while len(ready) < 2:
