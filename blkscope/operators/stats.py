@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import bucket_label, bucket_labels, bucket_number, first_char, format_bytes
 from ..schema import COMPLETE, GROUP, READ, SEND, UNIT_BYTES, UNMAP, WRITE
+from ..sources.temp import is_derived, materialised
 from .filters import Range, apply_range, stats_rows
 
 PERCENTILES = [0.99, 0.999, 0.9999, 0.99999, 0.999999]
@@ -28,11 +29,11 @@ def _check(kind: str, column: str) -> None:
         raise ValueError(f"no statistics of {column} for {kind}")
 
 
-def value_rows(df: DataFrame, kind: str, column: str, r: Range | None, hidden: list[str] | None, group: bool) -> DataFrame:
-    """(trace, key, value) of the rows that a statistic is over; placeholders of 0.0 are among them."""
+def value_rows(df: DataFrame, kind: str, column: str, r: Range | None, hidden: list[str] | None, group: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """(trace, key, value, more...) of the rows that a statistic is over; placeholders of 0.0 are among them."""
     _check(kind, column)
     rows = stats_rows(apply_range(df, kind, r, hidden), kind, column)
-    return rows.select("trace", group_of(kind, group).alias("key"), F.col(column).cast("double").alias("value"))
+    return rows.select("trace", group_of(kind, group).alias("key"), F.col(column).cast("double").alias("value"), *more)
 
 
 def latency_histogram(df: DataFrame, kind: str, column: str, thresholds: list[str], r: Range | None = None, hidden: list[str] | None = None, group: bool = False) -> DataFrame:
@@ -61,6 +62,9 @@ def zeros_between(counts: DataFrame, thresholds: list[str]) -> DataFrame:
 #: MARGIN of it, where the sketch is right to a rank in SKETCH.
 FEW, SKETCH, MARGIN = 100_000, 10_000, 3e-4
 
+#: Slices of the span near a percentile, of which one or two are put in order.
+SLICES = 4096
+
 RANKS = [0.5, *PERCENTILES]
 
 
@@ -69,40 +73,74 @@ def summarised(rows: DataFrame, *by: str) -> DataFrame:
     median and percentiles with linear interpolation; nulls don't count, and p is null without values.
 
     The first pass finds between which two values each percentile lies, the
-    second counts what is below these and each value between them. So a group
-    of any size is shared by all tasks, and only the few values near a
-    percentile are put in order.
+    second counts what is below these and each value between them. Rows that
+    windows or joins make are computed once and written as (by..., value) for both passes.
+    So a group of any size is shared by all tasks, and only the few values near a
+    percentile are put in order, see _at_ranks.
     """
+    rows = rows.select(*by, "value")
+    if is_derived(rows):
+        rows = materialised(rows)
     value = F.col("value")
     nearby = [max(0.0, min(1.0, q + d)) for q in RANKS for d in (-MARGIN, MARGIN)]
-    sums = rows.groupBy(*by).agg(
+    sums = rows.groupBy(*by).agg(*_moments(), F.percentile_approx(value, nearby, SKETCH).alias("near"))
+
+    def end(k: int, whole: str) -> Column:
+        return F.when((F.col("n") <= FEW) | F.lit(nearby[k] in (0.0, 1.0)), F.col(whole)).otherwise(F.col("near")[k])
+
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), end(2 * k, "low").alias("from"), end(2 * k + 1, "high").alias("to")) for k in range(len(RANKS))])
+    groups = [F.col(c).alias(f"__{c}") for c in by]
+    told = sums.filter("n > 0").select(*groups, F.col("n").alias("__n"), spans.alias("spans"))
+    seen = rows.filter(value.isNotNull()).select(*by, "value").join(told, _same(by)).select(*[f"__{c}" for c in by], "__n", "value", F.explode("spans").alias("s")).filter(value <= F.col("s.to"))
+    counts = seen.groupBy(*[f"__{c}" for c in by], "__n", F.col("s.k").alias("k"), F.col("s.from").alias("from"), F.col("s.to").alias("to"), F.when(value >= F.col("s.from"), value).alias("v")).agg(F.count("*").alias("c"))
+    return _told(sums, _at_ranks(materialised(counts), by), by)
+
+
+def _same(by: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+
+
+def _moments() -> list[Column]:
+    value = F.col("value")
+    return [
         F.count(value).alias("n"),
         F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.coalesce(F.avg(value), F.lit(0.0)).alias("avg"),
         F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std_dev"),
-        F.percentile_approx(value, nearby, SKETCH).alias("near"),
-    )
+    ]
 
-    def end(k: int, whole: str) -> Column:
-        return F.when((F.col("n") <= FEW) | F.lit(nearby[k] in (0.0, 1.0)), F.col(whole)).otherwise(F.col("near")[k])
 
-    spans = F.array(*[F.struct(F.lit(k).alias("k"), end(2 * k, "low").alias("from"), end(2 * k + 1, "high").alias("to")) for k in range(len(RANKS))])
-    groups = [F.col(c).alias(f"__{c}") for c in by]
-    told = sums.filter("n > 0").select(*groups, F.col("n").alias("__n"), spans.alias("spans"))
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
-    seen = rows.filter(value.isNotNull()).select(*by, "value").join(told, same).select(*[f"__{c}" for c in by], "__n", "value", F.explode("spans").alias("s")).filter(value <= F.col("s.to"))
-    counts = seen.groupBy(*[f"__{c}" for c in by], "__n", F.col("s.k").alias("k"), F.when(value >= F.col("s.from"), value).alias("v")).agg(F.count("*").alias("c"))
-    so_far = Window.partitionBy(*[f"__{c}" for c in by], "k").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _at_ranks(counts: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(__by..., p) from counts (__by..., __n, k, from, to, v, c): how often each value v between from and to is there, and with v null how many are below.
+
+    The span of a percentile is cut into SLICES; the slices' sums tell which
+    one or two of them hold its rank, and only these slices' values are put in order. p is null where a rank is not between from and to.
+    """
+    names = [f"__{c}" for c in by]
+    at = [*names, "__n", "k"]
+    width = F.col("to") - F.col("from")
+    part = F.when(F.col("v").isNull(), -1).when(width > 0, F.least(F.floor((F.col("v") - F.col("from")) / width * SLICES), F.lit(SLICES - 1))).otherwise(0).cast("long")
+    counts = counts.withColumn("slice", part)
     place = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(q) for q in RANKS]), F.col("k") + 1)
-    placed = counts.select("*", F.sum("c").over(so_far).alias("upto"), place.alias("place"))
-    found = placed.groupBy(*[f"__{c}" for c in by], "k", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("b"))
+    upto = Window.partitionBy(*names, "k").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = counts.groupBy(*at, "slice").agg(F.sum("c").alias("s")).withColumn("upto", F.sum("s").over(upto)).withColumn("before", F.col("upto") - F.col("s"))
+    slices = slices.filter((F.col("before") <= F.ceil(place)) & (F.col("upto") > F.floor(place))).select(*[F.col(c).alias(f"s_{c}") for c in (*names, "k")], F.col("slice").alias("s_slice"), "before")
+    found = counts.join(slices, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in (*names, "k", "slice")]))
+    so_far = Window.partitionBy(*names, "k", "slice").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = found.select(*at, "v", (F.sum("c").over(so_far) + F.col("before")).alias("upto"), place.alias("place"))
+    found = placed.groupBy(*names, "k", "place").agg(F.min(F.when(F.col("upto") > F.floor("place"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("place"), F.col("v"))).alias("b"), F.max(F.when(F.col("v").isNull(), F.col("upto"))).alias("below"))
+    inside = F.coalesce(F.col("below"), F.lit(0)) <= F.floor("place")
     between = (F.ceil("place") - F.col("place")) * F.col("a") + (F.col("place") - F.floor("place")) * F.col("b")
-    exact = found.select(*[f"__{c}" for c in by], "k", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("x"))
-    p = exact.groupBy(*[f"__{c}" for c in by]).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("p"))
+    exact = found.select(*names, "k", F.when(inside, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between)).alias("x"))
+    p = exact.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("p"))
+    return p.withColumn("p", F.when((F.size("p") == len(RANKS)) & ~F.exists("p", lambda x: x.isNull()), F.col("p")))
+
+
+def _told(sums: DataFrame, p: DataFrame, by: tuple[str, ...]) -> DataFrame:
     extremes = [F.coalesce(a, F.lit(0.0)).alias(b) for a, b in (("low", "min"), ("high", "max"))]
-    return sums.join(p, same, "left").select(*by, "n", "sum", *extremes, "avg", "std_dev", "p")
+    return sums.join(p, _same(by), "left").select(*by, "n", "sum", *extremes, "avg", "std_dev", "p")
 
 
 def _with_percentiles(df: DataFrame) -> DataFrame:
