@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as SpanWindow
 from pyspark.sql import functions as F
 
 from .common import new_path, text_of, written
@@ -103,16 +104,19 @@ class Window:
         self.data, self.at = self.data[n:], self.at + n
 
 
-def member(window: Window, skip: int, only_head: bool = False) -> tuple[bytes, int] | None:
-    """The gzip member that starts skip bytes into the window and its compressed length; None if there is none or it is no WARC record."""
-    unpack, parts, total, used = zlib.decompressobj(31), [], 0, skip
+def member(window: Window) -> tuple[bytes | None, int] | None:
+    """The content of the gzip member at the window's start and its compressed length; None if there is none or it is no WARC record.
+
+    A member that begins as a record and can't be decoded to its end has the content None.
+    """
+    unpack, parts, total, used = zlib.decompressobj(31), [], 0, 0
     while True:
         if used >= len(window.data) and not window.more():
-            return None
+            return (None, 0) if total >= len(VERSION) else None
         try:
-            got = unpack.decompress(window.data[used:])
+            got = unpack.decompress(memoryview(window.data)[used:])
         except zlib.error:
-            return None
+            return (None, 0) if total >= len(VERSION) or _begins(window.data) else None
         used = len(window.data) - len(unpack.unused_data)
         if got:
             parts.append(got)
@@ -122,14 +126,24 @@ def member(window: Window, skip: int, only_head: bool = False) -> tuple[bytes, i
                 parts = [b"".join(parts)]
             if not parts[0].startswith(VERSION):
                 return None
-            if only_head:
-                return parts[0], 0
         if unpack.eof:
-            return (b"".join(parts), used - skip) if total >= len(VERSION) else None
+            return (b"".join(parts), used) if total >= len(VERSION) else None
 
 
-def records_in(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, content) of the records of a file that start from start to before end."""
+def _begins(data: bytes) -> bool:
+    """Whether what can be decoded of a damaged member begins as a record; a few bytes at a time, as an error gives back nothing."""
+    unpack, out, rest = zlib.decompressobj(31), b"", data
+    try:
+        while rest and len(out) < len(VERSION):
+            out += unpack.decompress(rest[:64], len(VERSION))
+            rest = unpack.unconsumed_tail + rest[64:]
+    except zlib.error:
+        pass
+    return out.startswith(VERSION)
+
+
+def members_in(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """(place, length, content) of the members of a file that start from start to before end and begin as records; content None: damaged."""
     with fs.open_input_file(path) as file:
         window = Window(file, start)
         while window.at < end:
@@ -142,12 +156,29 @@ def records_in(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int) -> It
             if window.at + at >= end:
                 return
             window.drop(at)
-            found = member(window, 0)
+            found = member(window)
             if found is None:
                 window.drop(1)
                 continue
-            yield window.at, found[0]
-            window.drop(found[1])
+            yield window.at, found[1], found[0]
+            window.drop(found[1] or 1)
+
+
+def records_in(fs: pyarrow.fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of the whole members among members_in."""
+    return ((at, content) for at, _, content in members_in(fs, path, start, end) if content is not None)
+
+
+def records_of(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """parsed, for each of the records of a member one after the other."""
+    while content:
+        head, _, rest = content.partition(b"\r\n\r\n")
+        fields, payload, stated = parsed(content)
+        size = int(fields.get("content-length", 0))
+        if not head.startswith(VERSION) or size > len(rest):
+            raise ValueError("a member holds something behind its records, or less than a record states")
+        yield fields, payload, stated
+        content = rest[size:].lstrip(b"\r\n")
 
 
 def parsed(content: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -172,7 +203,13 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, tasks: int | None =
 
     The digest of a response is computed from what was read and must be the one
     in its header; that of a revisit is the header's. payload is null unless
-    payloads. Archives without records give no rows.
+    payloads. Archives without records, and no archives, give no rows; gzip members of
+    other content are passed over.
+
+    A range that begins inside a record may find a whole record in that one's
+    payload. What was found is put in order of place for each archive, and what lies within
+    another is no record. ValueError for a record that is cut off or damaged and
+    for bytes between records that are not whole gzip members, so nothing is lost unseen.
     """
     spark = files.sparkSession
     ranges = files.filter("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
@@ -185,14 +222,16 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, tasks: int | None =
                 fs, place = pyarrow.fs.FileSystem.from_uri(path)
                 rows: list[tuple] = []
                 held = 0
-                for at, content in records_in(fs, place, start, end):
-                    fields, payload, stated = parsed(content)
+                for at, length, fields, payload, stated in _each(fs, place, start, end):
+                    if fields is None:
+                        rows.append((path, at, DAMAGED, None, None, None, 0, None, None, None))
+                        continue
                     kind = fields.get("warc-type", "")
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                     if kind == "response" and payload_digest(payload) != digest:
                         raise ValueError(f"{path} at {at}: the payload does not have the digest of its header")
                     size = stated if kind == "revisit" else len(payload)
-                    rows.append((path, at, kind, _row(fields.get("warc-record-id", "")), _row(fields.get("warc-refers-to", "")), fields.get("warc-target-uri"), size, digest, payload if payloads else None))
+                    rows.append((path, at, kind, _row(fields.get("warc-record-id", "")), _row(fields.get("warc-refers-to", "")), fields.get("warc-target-uri"), size, digest, payload if payloads else None, at + length))
                     held += len(payload)
                     if held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
@@ -200,11 +239,57 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, tasks: int | None =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
-    return ranges.mapInArrow(run, "path string, start long, record_type string, row_id long, refers_to_id long, url string, payload_bytes long, payload_digest string, payload binary")
-
-
-NAMES = ["path", "start", "record_type", "row_id", "refers_to_id", "url", "payload_bytes", "payload_digest", "payload"]
-TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    found = written(ranges.mapInArrow(run, "path string, start long, record_type string, row_id long, refers_to_id long, url string, payload_bytes long, payload_digest string, payload binary, stop long"), "warc-records")
+    spans = found.groupBy("path", "start").agg(F.max("stop").alias("stop"))
+    reach = F.coalesce(F.max("stop").over(SpanWindow.partitionBy("path").orderBy("start").rowsBetween(SpanWindow.unboundedPreceding, -1)), F.lit(0))
+    spans = written(spans.withColumn("reach", reach), "warc-spans")
+    damaged = spans.filter("stop IS NULL AND start >= reach").orderBy("path", "start").first()
+    if damaged:
+        raise ValueError(f"{damaged['path']} at {damaged['start']}: a record is cut off or damaged")
+    ends = files.filter("bytes > 0").join(spans.groupBy(F.col("path").alias("p")).agg(F.max("stop").alias("last")), F.col("path") == F.col("p"), "left")
+    gaps = spans.filter("start > reach").select("path", F.col("reach").alias("start"), F.col("start").alias("end"))
+    gaps = gaps.unionByName(ends.select("path", F.coalesce("last", F.lit(0)).cast("long").alias("start"), F.col("bytes").alias("end")).filter("end > start"))
+    written(gaps.mapInArrow(_checked, "path string"), "warc-gaps")
+    inner = spans.filter("start < reach").select("path", "start")
+    return found.join(inner, ["path", "start"], "left_anti").drop("stop")
+
+
+def _each(fs: pyarrow.fs.FileSystem, place: str, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, int]]:
+    for at, length, content in members_in(fs, place, start, end):
+        if content is None:
+            yield at, 0, None, b"", 0
+        else:
+            for fields, payload, stated in records_of(content):
+                yield at, length, fields, payload, stated
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nothing, if the bytes (path, start, end) are whole gzip members; else an error."""
+    for batch in batches:
+        for path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            fs, place = pyarrow.fs.FileSystem.from_uri(path)
+            with fs.open_input_file(place) as file:
+                file.seek(start)
+                left, unpack, data = end - start, zlib.decompressobj(31), b""
+                try:
+                    while left or data:
+                        if not data:
+                            data = file.read(min(left, READ))
+                            left = left - len(data) if data else 0
+                        unpack.decompress(data)
+                        data = unpack.unused_data
+                        if unpack.eof and (left or data):
+                            unpack = zlib.decompressobj(31)
+                except zlib.error:
+                    unpack = None
+            if unpack is None or not unpack.eof:
+                raise ValueError(f"{path} from {start} to {end}: bytes that are no whole gzip member")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["path"])
+
+
+DAMAGED = "damaged"
+NAMES = ["path", "start", "record_type", "row_id", "refers_to_id", "url", "payload_bytes", "payload_digest", "payload", "stop"]
+TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -225,11 +310,18 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payl
 
 
 def warc_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes a record per page and reads the archives back: key, payload_bytes, payload_digest, record_type, refers_to, url. Repeated rows give a record each."""
+    """Writes a record per page and reads the archives back: key, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    Repeated rows give a record each, a null payload is an empty one, no rows
+    give none. It is an error if not as many records are read as were written.
+    """
     folder = new_path(pages.sparkSession, "warc")
     folder = folder if "://" in folder else f"file://{folder}"
     files = write_warc(with_revisits(pages, key, url, payload, least_bytes), folder)
     read = read_warc(files)
+    wrote, found = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], read.count()
+    if wrote != found:
+        raise ValueError(f"{wrote} records were written and {found} read")
     return read.select(F.col("row_id").alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").alias("refers_to"), "url")
 
 

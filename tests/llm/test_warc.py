@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pyarrow.fs
+import pytest
 
 from blkscope.llm import warc as W
 
@@ -54,3 +55,43 @@ def test_reader_splits_and_empty(spark, tmp_path):
         rows = W.read_warc(listed, split_bytes=split, payloads=True).collect()
         assert sorted((r.row_id, bytes(r.payload).decode()) for r in rows) == [(k, str(k) * 50) for k in range(200)]
     assert W.warc_round_trip(df.limit(0)).count() == 0
+
+
+def packed(*records):
+    """Records in one gzip member."""
+    return gzip.compress(b"".join(gzip.decompress(r) for r in records))
+
+
+def read(spark, tmp_path, raw, split=1000):
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(raw)
+    files = spark.createDataFrame([(f"file://{path}", len(raw))], "path string, bytes long")
+    return sorted((r.row_id, r.payload_bytes) for r in W.read_warc(files, split_bytes=split).collect())
+
+
+def test_a_record_within_a_payload_is_no_record(spark, tmp_path):
+    rnd = random.Random(1)
+    inner = W.record(7, "u", b"inner", None)
+    outer = [rnd.randbytes(60_000) + inner + rnd.randbytes(60_000), rnd.randbytes(5000) + inner[:-9] + rnd.randbytes(5000)]
+    raw = b"".join(W.record(k, "u", p, None) for k, p in enumerate(outer))
+    assert inner in raw
+    for split in (1000, 1 << 20):
+        assert read(spark, tmp_path, raw, split) == [(0, len(outer[0])), (1, len(outer[1]))]
+
+
+def test_several_records_in_a_member(spark, tmp_path):
+    raw = packed(*[W.record(k, "u", b"p" * k, None) for k in range(5)]) + W.record(9, "u", b"x", None)
+    assert read(spark, tmp_path, raw, 50) == [(k, k) for k in range(5)] + [(9, 1)]
+
+
+@pytest.mark.parametrize("split", [300, 1 << 20])
+def test_damage_is_an_error(spark, tmp_path, split):
+    rnd = random.Random(2)
+    one, two = (W.record(k, "u", rnd.randbytes(3000), None) for k in (1, 2))
+    body = bytearray(one)
+    body[1500:1520] = bytes(20)
+    start = b"\x00\x00" + one[2:]
+    for raw in (one + two[:-200], bytes(body) + two, start + two, one + two + b"trailing", one + b"between" + two):
+        with pytest.raises(Exception, match="damaged|no whole gzip member"):
+            read(spark, tmp_path, raw, split)
+    assert [i for i, _ in read(spark, tmp_path, one + gzip.compress(b"other content") + two, split)] == [1, 2]
