@@ -101,15 +101,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, with all columns; of rows that repeat key and normalised text any one.
 
-    Only keys and digests are grouped. Texts are read once more and taken out
-    by key and digest; those of a key and digest that stand in several rows,
-    of which one stays, are the only ones to move.
+    Only keys and digests are grouped. Texts then move once, to be taken out by
+    key and digest at any size alike; those of a key and digest that stand in
+    several rows, of which one stays, move once more.
     """
     k, s, sha = unused(docs, "k", "s", "sha")
     rows = exact_dedup(docs, key, text).groupBy(F.col(key).alias(k), F.col("text_sha256").alias(s)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     rows = written(rows.filter("NOT kept OR n > 1"), "repeats")
     marked = docs.withColumn(sha, F.sha2(squeezed(text), 256))
     same = F.col(key).eqNullSafe(F.col(k)) & (F.col(sha) == F.col(s))
-    alone = marked.join(rows.select(k, s), same, "left_anti")
-    several = marked.join(rows.filter("kept").select(k, s), same, "left_semi").dropDuplicates([key, sha])
+    alone = marked.join(rows.select(k, s).hint("merge"), same, "left_anti")
+    several = marked.join(rows.filter("kept").select(k, s).hint("merge"), same, "left_semi").dropDuplicates([key, sha])
     return alone.unionByName(several).drop(sha)
