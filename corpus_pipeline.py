@@ -27,12 +27,12 @@ QUALITY_BLOCK_BYTES = 4 << 20
 def _rows_without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose key and text are among gone's (key, sha); texts that differ under one key are told apart.
 
-    Where there is little to take out Spark sends that to the documents; else documents move once.
+    Documents move once for it, at any size alike: what is taken out grows with them.
     """
     (sha,) = unused(docs, "sha")
     ids = written(gone.select(F.col("key").alias("gone_key"), F.unhex("sha").alias("gone_sha")).distinct(), "gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_key")) & (F.col(sha) == F.col("gone_sha"))
-    return docs.withColumn(sha, F.unhex(F.sha2(text_of("text"), 256))).join(ids, same, "left_anti").drop(sha)
+    return docs.withColumn(sha, F.unhex(F.sha2(text_of("text"), 256))).join(ids.hint("merge"), same, "left_anti").drop(sha)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
