@@ -157,8 +157,8 @@ def grouped(fps: DataFrame, k: int) -> DataFrame:
 
 #: So many least hashes of a text's shingles name it, two at a time.
 LEAST = 6
-#: Sets that those of a name are compared with beside its smallest and largest, and how many of the least hashes must be the same for it.
-OTHERS, ALIKE = 4, 4
+#: Sets that those of a name are compared with beside its smallest and largest, and how many bits of 64 that the least hashes mark must be the same for it.
+OTHERS, ALIKE = 4, 3
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -190,19 +190,20 @@ def similar_links(sets: DataFrame, groups: DataFrame, jaccard: float) -> DataFra
     """(a, b): different roots of groups (fp, root) that two sets of (doc, fp, n, names, grams) of exact Jaccard similarity jaccard or more connect.
 
     Sets are compared with the smallest and the largest of those that share a
-    name with them, and, where ALIKE of the least hashes are the same, with
+    name with them, and, where the least hashes mark ALIKE same bits, with
     OTHERS more that a hash of name and set picks, so that they are others
     for each name: a text between its copies is as a rule neither end. Sets as similar as
     that share a name but for one in some hundred pairs, and a name shared by
     many texts costs a few rows for each of them.
     """
-    own = sets.join(groups, "fp").select("doc", "n", "root", F.slice("grams", 1, LEAST).alias("least"), F.explode("names").alias("name"))
+    marks = F.expr(f"aggregate(slice(grams, 1, {LEAST}), 0L, (acc, g) -> acc | shiftleft(1L, CAST(pmod(g, 64) AS INT)))")
+    own = sets.join(groups, "fp").select("doc", "n", "root", marks.alias("least"), F.explode("names").alias("name"))
     one = [F.col(c) for c in ("n", "doc", "root", "least")]
     picked = [F.min(F.struct(F.xxhash64("name", "doc", F.lit(i)).alias("h"), F.struct(*one).alias("r"))).getField("r") for i in range(OTHERS)]
     ends = own.groupBy("name").agg(F.min(F.struct(*one)).alias("first"), F.max(F.struct(*one)).alias("last"), F.array(*picked).alias("more"))
     ends = ends.select("name", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("end"), F.col("first").alias("r")), F.struct(F.lit(True).alias("end"), F.col("last").alias("r"))), F.transform("more", lambda r: F.struct(F.lit(False).alias("end"), r.alias("r"))))).alias("e"))
     ends = ends.select(F.col("name").alias("rname"), "e.end", F.col("e.r.n").alias("rn"), F.col("e.r.doc").alias("rdoc"), F.col("e.r.root").alias("rroot"), F.col("e.r.least").alias("rleast")).distinct()
-    close = F.col("end") | (F.size(F.array_intersect("least", "rleast")) >= F.least(F.lit(ALIKE), F.size("least"), F.size("rleast")))
+    close = F.col("end") | (F.bit_count(F.col("least").bitwiseAND(F.col("rleast"))) >= F.least(F.lit(ALIKE), F.bit_count("least"), F.bit_count("rleast")))
     met = own.join(ends.hint("merge"), (F.col("name") == F.col("rname")) & (F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9) & close)
     pairs = written(met.select("doc", "n", "root", "rdoc", "rn", "rroot").distinct(), "pairs")
     # whole sets move for candidates only
