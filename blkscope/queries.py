@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,19 @@ from . import testbed
 from .functions.units import THRESHOLDS, bucket_label, bucket_labels, format_bytes, time_to_ms, time_to_ms_column
 from .operators import points as P
 from .operators import stats as S
-from .operators.derive import dedup_block, derive
+from .operators.derive import Carried, dedup_block, derive
 from .operators.filters import Range, apply_range, hide_many
 from .operators.order import conditional_sort
+from .operators.pyramid import Pyramid
+from .operators.resume import at_rest, resume
 from .operators.sample import sample_exact
+from .operators.sketches import summary_at_rest
 from .plans.export import chunks
 from .plans.view import filter_trace
 from .schema import COMPLETE, SEND
 from .sources import parse, store
 from .sources.patterns import DEFAULTS, test_pattern
+from .sources.temp import PREFIX, materialised, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -282,3 +287,40 @@ def entry(spark: SparkSession, folder: str) -> DataFrame:
     """From log lines to statistics: parse, derive, and the histograms of all latencies of the ufs log."""
     events = _parsed(spark, folder, "ufs")
     return S.all_stats(derive(events, "ufs"), "ufs", THRESHOLDS)["histogram"].orderBy("trace", "latency", "key", "bucket_ord")
+
+
+# Tables at rest, traces in parts, and repeated zooms
+
+def _stored(spark: SparkSession, folder: str, kind: str, layout: str = "time") -> str:
+    """The folder of a new stored table of a kind."""
+    df = table(spark, folder, kind)
+    place = f"{shared_folder(df) or folder}/{PREFIX}{uuid.uuid4().hex}"
+    store.save(df, place, kind, layout=layout)
+    return place
+
+
+def _in_parts(spark: SparkSession, folder: str, parts: int = 3) -> DataFrame:
+    """Block events in parts by their lines, each derived from the state that the one before left."""
+    rows, state, out = testbed.block(spark, folder), at_rest(spark, "block"), []
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    for n in range(parts):
+        part = rows.filter((F.col("seq") > (last * n // parts if n else -1)) & (F.col("seq") <= last * (n + 1) // parts))
+        made, after = resume(part, "block", state)
+        out.append(materialised(made))
+        state = Carried(materialised(after.marks), materialised(after.open), materialised(after.listed))
+    return store.union(out)
+
+
+def _tree(spark: SparkSession, folder: str, r: Range) -> DataFrame:
+    place = _stored(spark, folder, "ufs")
+    df = store.load(spark, place, "ufs")
+    return Pyramid(spark, f"{place}/tree", "ufs").build(df, 600.0, THRESHOLDS).histogram(df, "dtoc", r)
+
+
+register("block_in_parts", lambda s, d: _in_parts(s, d).selectExpr("seq", "action", "qd", *[f"round({c}, 4) AS {c}" for c in S.LATENCIES], "continuous"), f"SELECT seq, action, qd, {_LAT}, continuous FROM d_block")
+register("zoom_layout", lambda s, d: apply_range(store.load(s, _stored(s, d, "ufs", "zoom"), "ufs"), "ufs", Range("lba", T0 + 3600.0, T0 + 90000.0, 2, 9)).select("seq", "lba", "qd"),
+    f"SELECT seq, lba, qd FROM d_ufs WHERE time BETWEEN {T0 + 3600.0} AND {T0 + 90000.0} AND lba BETWEEN 2 AND 9")
+register("summary_tree_histogram", lambda s, d: _tree(s, d, Range("", T0 + 3600.0, T0 + 90000.0)).drop("trace"),
+    histogram_sql("ufs", "dtoc", THRESHOLDS).replace("FROM d_ufs WHERE", f"FROM d_ufs WHERE time BETWEEN {T0 + 3600.0} AND {T0 + 90000.0} AND"))
+register("latency_summary_at_rest", lambda s, d: _rounded(summary_at_rest(s, _stored(s, d, "cus"), "cus", "dtoc"), *NUMBERS).select("key", "n", *NUMBERS), summary_sql("cus", "dtoc"))
+register("footer_counts", lambda s, d: store.footer_lengths(s, _stored(s, d, "block"), ["block"]), "SELECT 'block' AS kind, count(*) AS n FROM d_block")
