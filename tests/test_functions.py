@@ -10,6 +10,7 @@ from blkscope.operators.filters import Range, apply_range, chart_rows, view_rang
 from blkscope.operators.sample import sample_exact, sampling_info
 from blkscope.plans.export import report_csv
 from blkscope.plans.view import Session, save_arrow, to_arrow, with_counts
+from blkscope.queries import QUERIES
 from blkscope.schema import TABLES
 
 
@@ -132,3 +133,19 @@ def test_session(spark):
     assert s.cancelled
     s.clear()
     assert not s.kept
+
+
+def test_bytes_at_the_edges_and_beyond_a_long(spark):
+    near = [1024**k + d for k in range(1, 5) for d in (-1, 0)]
+    df = spark.createDataFrame([(n,) for n in near], "n long")
+    assert [r.b for r in df.select(U.format_bytes(F.col("n")).alias("b")).collect()] == ["1023 Bytes", "1 KB", "1024 KB", "1 MB", "1024 MB", "1 GB", "1024 GB", "1 TB"]
+    wide = spark.sql("SELECT CAST('1000000000000000000000' AS DECIMAL(38,0)) AS n")
+    assert wide.select(U.format_bytes(F.col("n")).alias("b")).first().b == "909494701.77 TB"
+
+
+def test_format_bytes_of_large_keys(spark, tmp_path):
+    """Keys as 60 copies of sf0.1 have them: their product is beyond a long."""
+    rows = [(8_999_999, 899_999), (3_000, 7), (None, 1), (5, 0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.shown for r in QUERIES["format_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {8_999_999: f"{round(8_999_999**2 * 899_999 / 1024**4, 2)} TB", 3_000: "60.08 MB", None: "0 Bytes", 5: "0 Bytes"}
