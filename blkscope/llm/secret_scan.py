@@ -48,9 +48,6 @@ TREES, DEPTH, SEED, CUT = 24, 7, 7, 0.5
 #: With w different words in an average document there are at most w / WORD_SHARE words, whatever the number of documents.
 WORD_SHORTEST, WORD_LONGEST, WORD_SHARE = 4, 10, 1e-4
 
-#: Letter runs of a value up to so many letters are looked up; longer ones are no words.
-LETTERS = 40
-
 
 def _share(value: Column, pattern: str) -> Column:
     return (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))) / F.length(value)
@@ -123,17 +120,21 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
 
 def covered(found: DataFrame, words: DataFrame) -> DataFrame:
-    """found with coverage: the share of a value's characters that dictionary words inside its letter runs cover. Each different value is looked up once."""
-    lower = F.lower("value")
-    lengths = F.sequence(F.lit(WORD_SHORTEST), F.lit(WORD_LONGEST))
-    starts = F.filter(F.sequence(F.lit(1), F.length("value") - WORD_SHORTEST + 1), lambda i: F.substring(F.col("low"), i, F.lit(WORD_SHORTEST)).rlike("^[a-z]+$"))
-    values = found.select("value").distinct().withColumn("low", F.regexp_replace(lower, rf"[a-z]{{{LETTERS + 1},}}", ""))
-    values = values.filter(F.col("low").rlike(rf"[a-z]{{{WORD_SHORTEST}}}"))
-    parts = values.filter(F.length("low") == F.length("value")).select("value", "low", F.explode(starts).alias("at")).select("value", "at", F.explode(F.transform(lengths, lambda n: F.substring(F.col("low"), F.col("at"), n))).alias("word"))
-    parts = parts.filter(F.length("word") >= WORD_SHORTEST).distinct()
-    hits = parts.join(words, "word").select("value", F.explode(F.sequence(F.col("at"), F.col("at") + F.length("word") - 1)).alias("place")).distinct()
-    shares = hits.groupBy("value").agg(F.count("*").alias("n")).select(F.col("value").alias("known"), (F.col("n") / F.length("value")).alias("coverage"))
-    return found.join(shares, F.col("value") == F.col("known"), "left").drop("known").withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    """found with coverage: the share of a value's characters that dictionary words inside its letter runs cover. Each different value is looked up once.
+
+    A letter begins at most one word of each length, so a value of any length
+    costs rows in proportion to it; these name it by its digest.
+    """
+    digest = F.unhex(F.sha2("value", 256))
+    lengths = F.sequence(F.lit(WORD_SHORTEST), F.length("run"))
+    values = found.select("value").distinct().withColumn("low", F.lower("value")).filter(F.col("low").rlike(rf"[a-z]{{{WORD_SHORTEST}}}"))
+    # what follows each place, as far as a word can reach
+    runs = values.select(digest.alias("known"), F.posexplode(F.regexp_extract_all("low", F.lit(rf"(?=([a-z]{{0,{WORD_LONGEST}}}))"), F.lit(1))).alias("at", "run")).filter(F.length("run") >= WORD_SHORTEST)
+    parts = runs.select("known", "at", F.explode(F.transform(lengths, lambda n: F.substring(F.col("run"), F.lit(1), n))).alias("word"))
+    hits = parts.join(words, "word").select("known", F.explode(F.sequence(F.col("at"), F.col("at") + F.length("word") - 1)).alias("place")).distinct()
+    shares = hits.groupBy("known").agg(F.count("*").alias("n"))
+    told = found.join(shares, digest == F.col("known"), "left")
+    return told.withColumn("coverage", F.coalesce(F.col("n") / F.length("value"), F.lit(0.0))).drop("known", "n")
 
 
 #: Words for made-up findings beside those of the corpus.

@@ -124,3 +124,20 @@ def test_secrets_of_the_documents(spark, documents):
         none |= {(r.doc_id, m[0]) for m in re.finditer(r"\S+@mail\S+|(?<!\S)\d{16}(?!\S)|(?<!\S)\d+\.\d+\.\d+\.\d+(?!\S)", r.text or "")}
     assert len(want & got) >= 0.95 * len(want)
     assert len(got & none) <= 0.02 * len(none) and len(got - want) <= 0.05 * max(20, len(got))
+
+
+def test_letter_runs_of_any_length_are_looked_up(spark):
+    """Coverage against plain Python: runs of over 40 letters, capitals and letters outside the BMP count like others."""
+    known = ["server", "serve", "over", "report", "accountant"]
+    values = ["serverover" * 5, "x" * 50 + "Over" * 3, "AccountAntReport" * 4000, "1over2" * 20, "\U0001f600over\U0001f600report" * 9, "qqqqqq", "ovre", "İover" * 12]
+
+    def share(value):
+        low, at = value.lower(), set()
+        for w in known:
+            for k in range(len(low) - len(w) + 1):
+                if low.startswith(w, k):
+                    at.update(range(k, k + len(w)))
+        return len(at) / len(value)
+
+    got = {r.value: r.coverage for r in S.covered(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(w,) for w in known], "word string")).collect()}
+    assert got == {v: pytest.approx(share(v)) for v in values} and got[values[0]] == 1.0
