@@ -5,12 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from blkscope import testbed
 from blkscope.operators import derive as D
 from blkscope.operators import order as O
 from blkscope.operators import stats as S
 from blkscope.plans import export
 from blkscope.plans.ingest import ingest
 from blkscope.plans.view import Session, reparse
+from blkscope.queries import QUERIES
 from blkscope.sources import parse, store, text
 
 CUS = "0x28,{},8,{},{}"
@@ -134,3 +136,20 @@ def test_a_log_is_read_again(spark, tmp_path):
     assert counts == {"cus": 7} and not session.kept and store.load(spark, folder, "cus").count() == 7
     (tmp_path / "tables" / "trace_temp_x.arrow").write_text("x")
     assert store.clean_catalog(catalog, -1) == 1
+
+
+def test_a_part_of_all_stats_runs_no_other(spark, monkeypatch):
+    """A histogram or the sizes alone take no passes for percentiles."""
+    monkeypatch.setattr(S, "summarised", lambda *a: pytest.fail("percentiles were not asked for"))
+    for name in ("block_allstats_histogram", "cus_allstats_histogram", "ufs_allstats_size_kb", "block_allstats_size"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("kind", ["ufs", "block", "cus"])
+def test_steps_over_slices_start_from_written_rows(spark, kind):
+    """The plan of a sliced trace holds each step's windows once, not again for each step behind it."""
+    df = testbed.RAW[kind](spark, "/root/testdata/sf0.001")
+    cut = D.derive(df, kind, bucket_rows=100)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 4 and plan.count("Relation [") <= 6, plan
+    assert sorted(map(str, cut.collect())) == sorted(map(str, D.derive(df, kind, bucket_rows=None).collect()))
