@@ -235,9 +235,9 @@ def _earlier(raw: bytes, key: int, quick: np.ndarray, marks: np.ndarray, first:
     return at[[first.get(x, key) < key for x in digests(raw.split(), at)]]
 
 
-def _shared(rows: DataFrame, *by: str) -> DataFrame:
-    """What different keys have, with the least key as first."""
-    return rows.groupBy(*by).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.max("block").alias("block")).filter("first < last AND block >= 0")
+def _shared(rows: DataFrame, *by: str, **more: Column) -> DataFrame:
+    """What different keys have, with the least key as first, and more aggregates."""
+    return rows.groupBy(*by).agg(F.min("low").alias("first"), F.max("high").alias("last"), F.max("block").alias("block"), *[e.alias(n) for n, e in more.items()]).filter("first < last AND block >= 0")
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -269,8 +269,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bl
     recurring = _shared(anchors, "anchor").select("anchor", "first")
     asked = anchors.join(recurring, "anchor").filter("greatest(low, high) >= first").select("block", *_empty(anchors, key="long", name="binary"), "anchor")
     windows = windows_of(mine, copies.select("block", "key", "name", *_empty(copies, anchor="long")).unionByName(asked)).repartition(partitions, "h1", "h2")
-    first = _shared(windows, "h1", "h2").select("h1", "h2", "first")
-    told = windows.join(first, ["h1", "h2"]).filter("greatest(low, high) > first").select("block", *_empty(first, key="long", name="binary"), "w", "h1", "h2", "first")
+    # Equal words have one quick hash too: asking for it makes both sides read w, so that windows are found once. Written
+    # as an equality it would become a key of the join, and the sides would differ again.
+    first = _shared(windows, "h1", "h2", quick=F.min("w")).select("h1", "h2", "first", "quick")
+    told = windows.join(first, ["h1", "h2"]).filter("greatest(low, high) > first AND least(w, quick) >= greatest(w, quick)").select("block", *_empty(first, key="long", name="binary"), "w", "h1", "h2", "first")
     known = copies.select("block", "key", "name", *_empty(copies, w="long", h1="long", h2="long", first="long")).unionByName(told)
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:

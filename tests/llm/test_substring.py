@@ -110,3 +110,11 @@ def test_keys_must_be_whole_numbers(spark):
 
     with pytest.raises(ValueError, match="whole numbers"):
         S.substring_dedup(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_windows_are_found_once(spark, documents):
+    """Each step over the blocks stands once in the plan: anchors, windows and what is removed."""
+    out = S.substring_dedup(documents)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FlatMapCoGroupsInArrow") == 3
