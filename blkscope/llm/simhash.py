@@ -6,11 +6,12 @@ each segment with each of its bits in turn wild; an equality join on these
 variants finds all links, and the exact distance confirms them.
 
 Texts of a high Jaccard similarity often differ in more bits than that. near_groups
-links those too, by the least hashes of their shingles: see similar_links.
+links all of those too, by prefixes of their sets of shingles: see shingle_sets and similar_links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,7 +127,10 @@ def star_links(fps: DataFrame, k: int) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(s).cast("byte").alias("seg"), F.col("fp").bitwiseAND(F.lit(_signed(((1 << n) - 1) << a))).alias("value")) for s, (a, n) in enumerate(_segments(k))])
     index = fps.select("fp", F.explode(parts).alias("p")).select("fp", "p.seg", "p.value")
     bits = [F.sum(F.expr(f"CAST(bit_get(fp, {i}) AS LONG)")).alias(f"bit{i}") for i in range(BITS)]
-    sums = index.groupBy("seg", "value").agg(F.count("*").alias("n"), *bits).filter("n > 1")
+    # the 64 sums of a segment only where several have it
+    several = index.groupBy("seg", "value").agg(F.count("*").alias("c")).filter("c > 1").select("seg", "value")
+    index = written(index.join(several.hint("merge"), ["seg", "value"], "left_semi"), "several")
+    sums = index.groupBy("seg", "value").agg(F.count("*").alias("n"), *bits)
     centre = F.expr(" | ".join(f"IF(bit{i} * 2 > n, {_signed(1 << i)}L, 0L)" for i in range(BITS)))
     centres = written(sums.select("seg", "value", centre.alias("centre")), "centres")
     # apart, so that the join can split a large segment and the least are taken before they move
@@ -155,63 +159,118 @@ def grouped(fps: DataFrame, k: int) -> DataFrame:
     return _merged(now, links(now, k))
 
 
-#: So many least hashes of a text's shingles name it, two at a time.
-LEAST = 6
-#: Sets that those of a name are compared with beside its smallest and largest, and how many bits of 64 that the least hashes mark must be the same for it.
-OTHERS, ALIKE = 4, 3
+#: Texts looked at for shingles that many share, and in how many of these one must be for it.
+SAMPLE, OFTEN = 4096, 3
+#: Pairs are all compared once there are at most so many for each row that may have a partner; before that rows meet hubs, in so many rounds at most.
+PAIRS, ROUNDS = 20, 4
 
 
-def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(key, sha, fp, n, names, grams): the SHA-256 of the text, the fingerprint, the n different shingles' hashes in order, as signed longs, and a hash of each two of the LEAST first ones."""
+def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many texts have, in order, and in how many of some SAMPLE texts each is: what sets put last. Only speed depends on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lists(parts: list[np.ndarray]) -> pa.Array:
-            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(np.int64)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                own = [np.unique(shingles(x.as_py(), shingle).view(np.int64)) for x in batch.column(0).slice(at, 1000)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own))], names=["gram"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select(text_of(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    often = some.mapInArrow(tidy_map(run), "gram long").groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= OFTEN).toArrow().sort_by("gram")
+    return often["gram"].to_numpy(), often["c"].to_numpy()
+
+
+def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """(key, sha, doc, fp, n, prefix): the SHA-256 of the text, a hash of it, the fingerprint, the number of different shingles and so many of their hashes that two sets of similarity jaccard share one of them.
 
+    Sets of similarity jaccard share at least jaccard * n hashes of either, so
+    in any order that all sets keep one of the first n - jaccard * n + 1 is common.
+    Here shingles that many texts have come last, else the order is that of the hashes.
+    """
+    often, counts = common_shingles(docs, text, shingle)
+
+    def first(grams: np.ndarray) -> np.ndarray:
+        if not len(grams):
+            return grams
+        most = len(grams) - math.ceil(jaccard * len(grams) - 1e-9) + 1
+        if not len(often):
+            return grams[:most]
+        at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
+        return grams[np.argsort(np.where(often[at] == grams, counts[at], 0), kind="stable")[:most]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                hashes = [shingles(x.as_py(), shingle) for x in part.column(2)]
+                hashes = [shingles(x.as_py(), shingle) for x in part.column(3)]
                 fps = np.fromiter((majority(h) for h in hashes), dtype=np.uint64, count=len(hashes))
                 sets = [np.unique(h.view(np.int64)) for h in hashes]
-                names = []
-                for x in sets:
-                    first = [v.tobytes() for v in x[:LEAST]]
-                    two = [a + b for i, a in enumerate(first) for b in first[i + 1 :]] or first
-                    names.append(np.array([xxhash.xxh64_intdigest(t, SEED) for t in two], dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists(names), lists(sets)], names=["key", "sha", "fp", "n", "names", "grams"])
-
-    pairs = docs.select(F.col(key).alias("key"), F.sha2(text_of(text), 256).alias("sha"), text_of(text).alias("text"))
-    return pairs.mapInArrow(tidy_map(run), f"key {dict(pairs.dtypes)['key']}, sha string, fp long, n int, names array<long>, grams array<long>")
-
-
-def similar_links(sets: DataFrame, groups: DataFrame, jaccard: float) -> DataFrame:
-    """(a, b): different roots of groups (fp, root) that two sets of (doc, fp, n, names, grams) of exact Jaccard similarity jaccard or more connect.
-
-    Sets are compared with the smallest and the largest of those that share a
-    name with them, and, where the least hashes mark ALIKE same bits, with
-    OTHERS more that a hash of name and set picks, so that they are others
-    for each name: a text between its copies is as a rule neither end. Sets as similar as
-    that share a name but for one in some hundred pairs, and a name shared by
-    many texts costs a few rows for each of them.
+                prefixes = [first(x) for x in sets]
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists], names=["key", "sha", "doc", "fp", "n", "prefix"])
+
+    pairs = docs.select(F.col(key).alias("key"), F.sha2(text_of(text), 256).alias("sha"), F.xxhash64(text_of(text)).alias("doc"), text_of(text).alias("text"))
+    return pairs.mapInArrow(tidy_map(run), f"key {dict(pairs.dtypes)['key']}, sha string, doc long, fp long, n int, prefix array<long>")
+
+
+def sharing(sets: DataFrame) -> DataFrame:
+    """(gram, doc, fp, n): the hashes of prefixes that different texts have, once for each text."""
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select(F.explode("prefix").alias("gram"), "doc", "fp", "n").repartition(partitions, "gram")
+    # all columns, so that both sides read one exchange
+    many = rows.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("n").alias("most"), F.max("fp").alias("top")).filter("low < high AND most > 0 AND top IS NOT NULL").select("gram")
+    return rows.join(many.hint("merge"), "gram").distinct()
+
+
+def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, jaccard: float, text: str = "text", shingle: int = 5) -> DataFrame:
+    """groups (fp, root) once all sets of exact Jaccard similarity jaccard or more are connected; shared is sharing of their sets.
+
+    Every two texts of different groups that share a hash of their prefixes are
+    compared. Where these would be many, as in a large group of near copies,
+    texts are first compared with two that share the hash, which brings most
+    of such a group together by a few rows for each text; pairs within a group never come up.
     """
-    marks = F.expr(f"aggregate(slice(grams, 1, {LEAST}), 0L, (acc, g) -> acc | shiftleft(1L, CAST(pmod(g, 64) AS INT)))")
-    own = sets.join(groups, "fp").select("doc", "n", "root", marks.alias("least"), F.explode("names").alias("name"))
-    one = [F.col(c) for c in ("n", "doc", "root", "least")]
-    picked = [F.min(F.struct(F.xxhash64("name", "doc", F.lit(i)).alias("h"), F.struct(*one).alias("r"))).getField("r") for i in range(OTHERS)]
-    ends = own.groupBy("name").agg(F.min(F.struct(*one)).alias("first"), F.max(F.struct(*one)).alias("last"), F.array(*picked).alias("more"))
-    ends = ends.select("name", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("end"), F.col("first").alias("r")), F.struct(F.lit(True).alias("end"), F.col("last").alias("r"))), F.transform("more", lambda r: F.struct(F.lit(False).alias("end"), r.alias("r"))))).alias("e"))
-    ends = ends.select(F.col("name").alias("rname"), "e.end", F.col("e.r.n").alias("rn"), F.col("e.r.doc").alias("rdoc"), F.col("e.r.root").alias("rroot"), F.col("e.r.least").alias("rleast")).distinct()
-    close = F.col("end") | (F.bit_count(F.col("least").bitwiseAND(F.col("rleast"))) >= F.least(F.lit(ALIKE), F.bit_count("least"), F.bit_count("rleast")))
-    met = own.join(ends.hint("merge"), (F.col("name") == F.col("rname")) & (F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9) & close)
-    pairs = written(met.select("doc", "n", "root", "rdoc", "rn", "rroot").distinct(), "pairs")
-    # whole sets move for candidates only
+    now = groups
+    for k in range(ROUNDS + 1):
+        rows = written(shared.join(now, "fp").select("gram", "doc", "n", "root"), "sharing")
+        mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
+        rows = written(rows.join(mixed, "gram", "left_semi"), "mixed")
+        n, pairs = rows.groupBy("gram").agg(F.count("*").alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+        if not n:
+            return now
+        exact = k == ROUNDS or pairs <= PAIRS * n
+        other = rows
+        if not exact:
+            one = F.struct(F.xxhash64("doc").alias("h"), "doc", "n", "root")
+            ends = rows.groupBy("gram").agg(F.array(F.min(one), F.max(one)).alias("ends"))
+            other = ends.select("gram", F.explode("ends").alias("e")).select("gram", "e.doc", "e.n", "e.root")
+        other = other.select(F.col("gram").alias("rgram"), F.col("doc").alias("rdoc"), F.col("n").alias("rn"), F.col("root").alias("rroot"))
+        met = (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot") if exact else F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9)
+        found = rows.hint("merge").join(other, met).select("doc", "root", "rdoc", "rroot").distinct()
+        now = _merged(now, _similar(docs, written(found, "pairs"), jaccard, text, shingle))
+        if exact:
+            return now
+    return now
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, jaccard: float, text: str, shingle: int) -> DataFrame:
+    """(a, b): the roots of pairs (doc, root, rdoc, rroot) whose sets of shingles have that similarity. Only texts of pairs move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, two = (np.unique(shingles(t.as_py(), shingle)) for t in (x, y))
+                inter = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(inter >= jaccard * (len(one) + len(two) - inter) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     asked = written(pairs.select("doc").union(pairs.select("rdoc")).distinct(), "asked")
-    grams = sets.select("doc", "grams").join(asked, "doc", "left_semi")
-    both = pairs.join(grams, "doc").join(grams.select(F.col("doc").alias("rdoc"), F.col("grams").alias("rgrams")), "rdoc")
-    inter = F.size(F.array_intersect("grams", "rgrams"))
-    return both.filter(inter / (F.col("n") + F.col("rn") - inter) >= jaccard).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
+    texts = docs.select(F.xxhash64(text_of(text)).alias("doc"), text_of(text).alias("text")).join(asked, "doc", "left_semi")
+    texts = written(texts.groupBy("doc", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text")), "texts").select("doc", "text")
+    both = pairs.join(texts, "doc").join(texts.select(F.col("doc").alias("rdoc"), F.col("text").alias("rtext")), "rdoc").select("root", "rroot", "text", "rtext")
+    return written(both.mapInArrow(tidy_map(run), "a long, b long"), "similar")
 
 
 def _answers(made: DataFrame, nodes: DataFrame, groups: DataFrame, key: str, *more: str) -> DataFrame:
@@ -226,14 +285,13 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """One row per row of docs: key, fingerprint, component_id as simhash_components has them, group (a number of the component) and sha (of the text).
 
     Texts whose sets of shingles have an exact Jaccard similarity of jaccard or
-    more are linked too where similar_links finds them, however far apart their
-    fingerprints are.
+    more are linked too, however far apart their fingerprints are.
     """
-    sets = written(shingle_sets(docs, key, text, shingle).withColumn("doc", F.monotonically_increasing_id()), "sets")
+    sets = written(shingle_sets(docs, key, text, shingle, jaccard), "sets")
     made = sets.select("key", "sha", "fp")
     nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     now = grouped(nodes.select("fp"), k)
-    now = _merged(now, similar_links(sets, now, jaccard))
+    now = similar_links(docs, written(sharing(sets), "shared"), now, jaccard, text, shingle)
     return _answers(made, nodes, now, key, "group", "sha")
 
 

@@ -76,3 +76,19 @@ def test_hard_rows(spark, hard):
     found = got(hard)
     assert set(found) == {r.doc_id for r in hard.collect()} and found == expected([(r.doc_id, r.text) for r in hard.collect()])
     assert S.near_groups(hard.limit(0), jaccard=C.JACCARD).count() == 0
+
+
+def test_no_similar_pair_is_lost(spark):
+    """Exactly the components of all pairs, also where many texts share their least hashes and a text between two is their only link."""
+    rows = list(enumerate(t for case in [(11, 6, 30, 12), (12, 30, 4, 9), (13, 40, 2, 5)] for _, t in edited(*case)))
+    rnd, shared = random.Random(3), [f"c{k}" for k in range(60)]
+    for _ in range(60):  # far apart, with a large common part
+        rows.append((len(rows), " ".join(shared + [f"y{rnd.randrange(10**6)}" for _ in range(40)])))
+    want = expected(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_hubs_before_pairs_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(S, "PAIRS", 0)
+    rows = edited(21, 3, 40, 9)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
