@@ -111,9 +111,10 @@ def links(groups: DataFrame, k: int) -> DataFrame:
     Each two fingerprints give at most one row, those of two roots may give
     several. Candidates are compared inside the join, and only links leave it.
     """
-    index = variants_of(groups, k).drop("seg")
+    # dealt out once: both sides of the join read one exchange, as long as no condition is on one side's wild alone
+    index = variants_of(groups, k).drop("seg").repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), "wild", "value")
     other = index.select(F.col("wild").alias("w"), F.col("value").alias("v"), F.col("fp").alias("other"), F.col("root").alias("rroot"))
-    met = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k) & _once("fp", "other", "wild", k)
+    met = (F.col("wild") == F.col("w")) & (F.col("value") == F.col("v")) & (F.col("root") < F.col("rroot")) & (_distance("fp", "other") <= k) & _once("fp", "other", "greatest(wild, w)", k)
     # the variants are many times what Spark takes their size for, so it must not choose to broadcast them
     return index.hint("merge").join(other, met).select(F.col("root").alias("a"), F.col("rroot").alias("b"))
 
@@ -161,6 +162,8 @@ def grouped(fps: DataFrame, k: int) -> DataFrame:
 
 #: Texts looked at for shingles that many share, and in how many of these one must be for it.
 SAMPLE, OFTEN = 4096, 3
+#: Hashes that prefixes of similar sets have in common at least (or all that they share, if fewer).
+COMMON = 4
 #: Pairs are all compared once there are at most so many for each row that may have a partner; before that rows meet hubs, in so many rounds at most.
 PAIRS, ROUNDS = 20, 4
 
@@ -181,10 +184,10 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarra
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """(key, sha, doc, fp, n, prefix): the SHA-256 of the text, a hash of it, the fingerprint, the number of different shingles and so many of their hashes that two sets of similarity jaccard share one of them.
+    """(key, sha, doc, fp, n, prefix): the SHA-256 of the text, a hash of it, the fingerprint, the number of different shingles and so many of their hashes that two sets of similarity jaccard share COMMON of them.
 
     Sets of similarity jaccard share at least jaccard * n hashes of either, so
-    in any order that all sets keep one of the first n - jaccard * n + 1 is common.
+    in any order that all sets keep COMMON of the first n - jaccard * n + COMMON are common (all, where they share fewer).
     Here shingles that many texts have come last, else the order is that of the hashes.
     """
     often, counts = common_shingles(docs, text, shingle)
@@ -192,7 +195,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     def first(grams: np.ndarray) -> np.ndarray:
         if not len(grams):
             return grams
-        most = len(grams) - math.ceil(jaccard * len(grams) - 1e-9) + 1
+        most = len(grams) - math.ceil(jaccard * len(grams) - 1e-9) + COMMON
         if not len(often):
             return grams[:most]
         at = np.minimum(np.searchsorted(often, grams), len(often) - 1)
@@ -217,18 +220,19 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 def sharing(sets: DataFrame) -> DataFrame:
     """(gram, doc, fp, n): the hashes of prefixes that different texts have, once for each text."""
     partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.select(F.explode("prefix").alias("gram"), "doc", "fp", "n").repartition(partitions, "gram")
-    # all columns, so that both sides read one exchange
-    many = rows.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("n").alias("most"), F.max("fp").alias("top")).filter("low < high AND most > 0 AND top IS NOT NULL").select("gram")
-    return rows.join(many.hint("merge"), "gram").distinct()
+    # two numbers a row move; both sides read one exchange
+    rows = sets.select(F.explode("prefix").alias("gram"), "doc").repartition(partitions, "gram")
+    many = rows.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("gram")
+    some = written(rows.join(many.hint("merge"), "gram").distinct(), "many")
+    return some.join(sets.select("doc", "fp", "n").distinct(), "doc").select("gram", "doc", "fp", "n")
 
 
 def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, jaccard: float, text: str = "text", shingle: int = 5) -> DataFrame:
     """groups (fp, root) once all sets of exact Jaccard similarity jaccard or more are connected; shared is sharing of their sets.
 
-    Every two texts of different groups that share a hash of their prefixes are
+    Every two texts of different groups that share COMMON hashes of their prefixes are
     compared. Where these would be many, as in a large group of near copies,
-    texts are first compared with two that share the hash, which brings most
+    texts are first compared with two that share a hash, which brings most
     of such a group together by a few rows for each text; pairs within a group never come up.
     """
     now = groups
@@ -247,7 +251,9 @@ def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, jaccard
             other = ends.select("gram", F.explode("ends").alias("e")).select("gram", "e.doc", "e.n", "e.root")
         other = other.select(F.col("gram").alias("rgram"), F.col("doc").alias("rdoc"), F.col("n").alias("rn"), F.col("root").alias("rroot"))
         met = (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot") if exact else F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9)
-        found = rows.hint("merge").join(other, met).select("doc", "root", "rdoc", "rroot").distinct()
+        least = F.least(F.lit(COMMON), F.ceil(F.max(F.greatest("n", "rn")) * jaccard - 1e-9)) if exact else F.lit(1)
+        found = rows.hint("merge").join(other, met).groupBy("doc", "root", "rdoc", "rroot").agg(F.count("*").alias("c"), least.alias("least"))
+        found = found.filter("c >= least").select("doc", "root", "rdoc", "rroot")
         now = _merged(now, _similar(docs, written(found, "pairs"), jaccard, text, shingle))
         if exact:
             return now
