@@ -164,8 +164,18 @@ def grouped(fps: DataFrame, k: int) -> DataFrame:
 SAMPLE, OFTEN = 4096, 3
 #: Hashes that prefixes of similar sets have in common at least (or all that they share, if fewer).
 COMMON = 4
-#: Pairs are all compared once there are at most so many for each row that may have a partner; before that rows meet hubs, in so many rounds at most.
-PAIRS, ROUNDS = 20, 4
+#: Longs of a set's parity sketch.
+SKETCH = 16
+#: Rows of a hash that more than FEW texts have carry sketches, so that only texts that may be similar leave their join.
+FEW = 8
+#: Where there are more pairs over such hashes than PAIRS for each row, rows meet hubs first, in so many rounds at most.
+PAIRS, ROUNDS = 1, 4
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """SKETCH longs whose bit b is set if an odd number of the hashes end in b: two sets differ in as many hashes as their sketches in bits, or more."""
+    odd = np.bincount(grams.view(np.uint64) % np.uint64(64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +194,7 @@ def common_shingles(docs: DataFrame, text: str, shingle: int) -> tuple[np.ndarra
 
 
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
-    """(key, sha, doc, fp, n, prefix): the SHA-256 of the text, a hash of it, the fingerprint, the number of different shingles and so many of their hashes that two sets of similarity jaccard share COMMON of them.
+    """(key, sha, doc, fp, n, prefix, sketch): the SHA-256 of the text, a hash of it, the fingerprint, the number of different shingles, so many of their hashes that two sets of similarity jaccard share COMMON of them, and the parities of all.
 
     Sets of similarity jaccard share at least jaccard * n hashes of either, so
     in any order that all sets keep COMMON of the first n - jaccard * n + COMMON are common (all, where they share fewer).
@@ -211,10 +221,10 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 prefixes = [first(x) for x in sets]
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists], names=["key", "sha", "doc", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), lists, pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], names=["key", "sha", "doc", "fp", "n", "prefix", "sketch"])
 
     pairs = docs.select(F.col(key).alias("key"), F.sha2(text_of(text), 256).alias("sha"), F.xxhash64(text_of(text)).alias("doc"), text_of(text).alias("text"))
-    return pairs.mapInArrow(tidy_map(run), f"key {dict(pairs.dtypes)['key']}, sha string, doc long, fp long, n int, prefix array<long>")
+    return pairs.mapInArrow(tidy_map(run), f"key {dict(pairs.dtypes)['key']}, sha string, doc long, fp long, n int, prefix array<long>, sketch array<long>")
 
 
 def sharing(sets: DataFrame) -> DataFrame:
@@ -227,41 +237,66 @@ def sharing(sets: DataFrame) -> DataFrame:
     return some.join(sets.select("doc", "fp", "n").distinct(), "doc").select("gram", "doc", "fp", "n")
 
 
-def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, jaccard: float, text: str = "text", shingle: int = 5) -> DataFrame:
-    """groups (fp, root) once all sets of exact Jaccard similarity jaccard or more are connected; shared is sharing of their sets.
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"r{c}") for c in rows.columns])
+
+
+def _lengths(jaccard: float) -> Column:
+    """Whether sets of n and rn hashes may have the similarity."""
+    return F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9
+
+
+def _near(jaccard: float) -> Column:
+    """Whether sets of n and rn hashes may have it by their sketches s0, s1, ... and rs0, rs1, ...: they differ in no more hashes than it allows."""
+    apart = " + ".join(f"bit_count(s{i} ^ rs{i})" for i in range(SKETCH))
+    return F.expr(apart) <= (F.col("n") + F.col("rn")) * ((1 - jaccard) / (1 + jaccard)) + 1e-9
+
+
+def _sketched(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """rows with the sketch of doc in columns s0, s1, ..."""
+    return rows.join(sketches, "doc").select(*rows.columns, *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+
+
+def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, sketches: DataFrame, jaccard: float, text: str = "text", shingle: int = 5) -> DataFrame:
+    """groups (fp, root) once all sets of exact Jaccard similarity jaccard or more are connected; shared is sharing of their sets, sketches their (doc, sketch).
 
     Every two texts of different groups that share COMMON hashes of their prefixes are
-    compared. Where these would be many, as in a large group of near copies,
-    texts are first compared with two that share a hash, which brings most
-    of such a group together by a few rows for each text; pairs within a group never come up.
+    compared. Pairs over hashes that few texts have grow with these rows. Over
+    others they grow with the square of a group's size, so they are told apart inside the
+    join, by sketches that never part similar sets. Where they would be many,
+    texts are first compared with two that share a hash, which brings most of a group of similar
+    texts together by a few rows for each text; pairs within a group never come up.
     """
-    now = groups
+    now, last = groups, math.inf
     for k in range(ROUNDS + 1):
         rows = written(shared.join(now, "fp").select("gram", "doc", "n", "root"), "sharing")
-        mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
-        rows = written(rows.join(mixed, "gram", "left_semi"), "mixed")
-        n, pairs = rows.groupBy("gram").agg(F.count("*").alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+        mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).filter("low < high").select("gram", "c")
+        rows = written(rows.join(mixed, "gram"), "mixed")
+        n, pairs = rows.agg(F.count("*"), F.sum(F.when(F.col("c") > FEW, F.col("c") - 1).otherwise(0)) / 2).first()
         if not n:
             return now
-        exact = k == ROUNDS or pairs <= PAIRS * n
-        other = rows
-        if not exact:
-            one = F.struct(F.xxhash64("doc").alias("h"), "doc", "n", "root")
-            ends = rows.groupBy("gram").agg(F.array(F.min(one), F.max(one)).alias("ends"))
-            other = ends.select("gram", F.explode("ends").alias("e")).select("gram", "e.doc", "e.n", "e.root")
-        other = other.select(F.col("gram").alias("rgram"), F.col("doc").alias("rdoc"), F.col("n").alias("rn"), F.col("root").alias("rroot"))
-        met = (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot") if exact else F.col("root") != F.col("rroot")) & (F.least("n", "rn") >= F.greatest("n", "rn") * jaccard - 1e-9)
+        # hubs are of no more use once most pairs are of texts apart
+        exact = k == ROUNDS or pairs <= PAIRS * n or pairs > last / 2
+        last = pairs
+        few, many = (rows.filter(f"c {than} {FEW}").drop("c") for than in ("<=", ">"))
+        if exact:
+            many = _sketched(many, sketches)
+            parts = [x.hint("merge").join(_other(x), (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & _lengths(jaccard) & more) for x, more in ((few, F.lit(True)), (many, _near(jaccard)))]
+            met = parts[0].select("doc", "root", "n", "rdoc", "rroot", "rn").union(parts[1].select("doc", "root", "n", "rdoc", "rroot", "rn"))
+        else:
+            one = F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), "doc", "n", "root")
+            ends = many.groupBy("gram").agg(F.array(F.min(one), F.max(one)).alias("ends")).select("gram", F.explode("ends").alias("e")).select("gram", "e.doc", "e.n", "e.root")
+            met = many.hint("merge").join(_other(ends), (F.col("gram") == F.col("rgram")) & (F.col("root") != F.col("rroot")) & _lengths(jaccard))
         least = F.least(F.lit(COMMON), F.ceil(F.max(F.greatest("n", "rn")) * jaccard - 1e-9)) if exact else F.lit(1)
-        found = rows.hint("merge").join(other, met).groupBy("doc", "root", "rdoc", "rroot").agg(F.count("*").alias("c"), least.alias("least"))
-        found = found.filter("c >= least").select("doc", "root", "rdoc", "rroot")
-        now = _merged(now, _similar(docs, written(found, "pairs"), jaccard, text, shingle))
+        found = met.groupBy("doc", "root", "n", "rdoc", "rroot", "rn").agg(F.count("*").alias("c"), least.alias("least")).filter("c >= least").drop("c", "least")
+        now = _merged(now, _similar(docs, found, sketches, jaccard, text, shingle))
         if exact:
             return now
     return now
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, jaccard: float, text: str, shingle: int) -> DataFrame:
-    """(a, b): the roots of pairs (doc, root, rdoc, rroot) whose sets of shingles have that similarity. Only texts of pairs move."""
+def _similar(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, jaccard: float, text: str, shingle: int) -> DataFrame:
+    """(a, b): the roots of pairs (doc, root, n, rdoc, rroot, rn) whose sets of shingles have that similarity. Only texts of pairs that their sketches leave move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,6 +307,8 @@ def _similar(docs: DataFrame, pairs: DataFrame, jaccard: float, text: str, shing
                 keep.append(inter >= jaccard * (len(one) + len(two) - inter) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    others = sketches.select(F.col("doc").alias("rdoc"), *[F.col("sketch")[i].alias(f"rs{i}") for i in range(SKETCH)])
+    pairs = written(_sketched(pairs, sketches).join(others, "rdoc").filter(_near(jaccard)).select("doc", "root", "rdoc", "rroot"), "pairs")
     asked = written(pairs.select("doc").union(pairs.select("rdoc")).distinct(), "asked")
     texts = docs.select(F.xxhash64(text_of(text)).alias("doc"), text_of(text).alias("text")).join(asked, "doc", "left_semi")
     texts = written(texts.groupBy("doc", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text")), "texts").select("doc", "text")
@@ -297,7 +334,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     made = sets.select("key", "sha", "fp")
     nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     now = grouped(nodes.select("fp"), k)
-    now = similar_links(docs, written(sharing(sets), "shared"), now, jaccard, text, shingle)
+    shared = written(sharing(sets), "shared")
+    sketches = written(sets.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "sketch").distinct(), "sketches")
+    now = similar_links(docs, shared, now, sketches, jaccard, text, shingle)
     return _answers(made, nodes, now, key, "group", "sha")
 
 

@@ -92,3 +92,42 @@ def test_hubs_before_pairs_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(S, "PAIRS", 0)
     rows = edited(21, 3, 40, 9)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
+
+
+def apart(seed, n):
+    """Near copies of one text, most of which are less similar than 0.8 to each other."""
+    rnd = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(n):
+        w = list(words)
+        for at in rnd.sample(range(300), 4 if k % 10 == 0 else 12):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_pairs_apart_stay_within_the_join(spark, monkeypatch):
+    """A group of texts apart that all share hashes: the right components, and few pairs go on to be compared."""
+    asked, similar_of = [], S._similar
+
+    def counted(docs, pairs, *a):
+        asked.append(pairs.count())
+        return similar_of(docs, pairs, *a)
+
+    monkeypatch.setattr(S, "_similar", counted)
+    rows = apart(5, 120)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == expected(rows)
+    assert asked[-1] < 20 * len(rows) < len(rows) * (len(rows) - 1) / 2 - len(list(similar(rows)))
+
+
+def test_sketches_never_part_similar_sets():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 5, 300, 5000):
+        a = rnd.integers(-(2**63), 2**63, n)
+        for change in (0, 1, n // 10, n // 3, n):
+            b = np.unique(np.concatenate([a[change:], rnd.integers(-(2**63), 2**63, change)]))
+            differ = len(np.setxor1d(a, b))
+            assert sum(int(x).bit_count() for x in (S.parities(np.unique(a)) ^ S.parities(b)).view(np.uint64)) <= differ
