@@ -264,7 +264,7 @@ def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, sketche
     compared. Pairs over hashes that few texts have grow with these rows. Over
     others they grow with the square of a group's size, so they are told apart inside the
     join, by sketches that never part similar sets. Where they would be many,
-    texts are first compared with two that share a hash, which brings most of a group of similar
+    texts are first compared with two that share a hash, one of them from the middle of its group, which brings most of a group of similar
     texts together by a few rows for each text; pairs within a group never come up.
     """
     now, last = groups, math.inf
@@ -284,8 +284,10 @@ def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, sketche
             parts = [x.hint("merge").join(_other(x), (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & _lengths(jaccard) & more) for x, more in ((few, F.lit(True)), (many, _near(jaccard)))]
             met = parts[0].select("doc", "root", "n", "rdoc", "rroot", "rn").union(parts[1].select("doc", "root", "n", "rdoc", "rroot", "rn"))
         else:
-            one = F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), "doc", "n", "root")
-            ends = many.groupBy("gram").agg(F.array(F.min(one), F.max(one)).alias("ends")).select("gram", F.explode("ends").alias("e")).select("gram", "e.doc", "e.n", "e.root")
+            # the text with the fewest hashes of its own lies in the middle of its group: texts that are similar to another of it mostly are to this one
+            own = many.groupBy("doc").agg((-F.count("*") / F.max("n")).alias("own"))
+            middle, any_one = (F.struct(*first, F.xxhash64("doc", F.lit(k)).alias("h"), "doc", "n", "root") for first in (["own"], [F.lit(0.0).alias("own")]))
+            ends = many.join(own, "doc").groupBy("gram").agg(F.array(F.min(middle), F.min(any_one)).alias("ends")).select("gram", F.explode(F.array_distinct(F.transform("ends", lambda e: F.struct(e["doc"].alias("doc"), e["n"].alias("n"), e["root"].alias("root"))))).alias("e")).select("gram", "e.doc", "e.n", "e.root")
             met = many.hint("merge").join(_other(ends), (F.col("gram") == F.col("rgram")) & (F.col("root") != F.col("rroot")) & _lengths(jaccard))
         least = F.least(F.lit(COMMON), F.ceil(F.max(F.greatest("n", "rn")) * jaccard - 1e-9)) if exact else F.lit(1)
         found = met.groupBy("doc", "root", "n", "rdoc", "rroot", "rn").agg(F.count("*").alias("c"), least.alias("least")).filter("c >= least").drop("c", "least")
