@@ -6,7 +6,7 @@ each segment with each of its bits in turn wild; an equality join on these
 variants finds all links, and the exact distance confirms them.
 
 Texts of a high Jaccard similarity often differ in more bits than that. near_groups
-links all of those too, by prefixes of their sets of shingles: see shingle_sets and similar_links.
+links all of those too, by prefixes of their sets of shingles: see shingle_sets and similar_groups.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, tidy_map, written
-from .components import components
+from .common import scratch, sealed, text_of, tidy_map, written
+from .components import roots
 
 BITS, SEED = 64, 42
 
@@ -141,10 +141,10 @@ def star_links(fps: DataFrame, k: int) -> DataFrame:
     return met.filter((F.col("fp") != F.col("hub")) & (_distance("fp", "hub") <= k)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
 
 
-def _merged(now: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, root) of now once edges (a, b) between its roots are followed."""
-    found = components(edges.distinct()).select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return written(now.join(found, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")), "groups")
+def _merged(now: DataFrame, edges: DataFrame, keep: list[str]) -> DataFrame:
+    """(fp, root) of now once edges (a, b) between its roots are followed; kept by the scratch whose list this is."""
+    found = roots(edges).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return sealed(now.join(found, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")), "groups", keep)
 
 
 def grouped(fps: DataFrame, k: int) -> DataFrame:
@@ -156,8 +156,9 @@ def grouped(fps: DataFrame, k: int) -> DataFrame:
     the variants. The pairs within a group, which grow with its square, never
     leave the join.
     """
-    now = _merged(fps.select("fp", F.col("fp").alias("root")), star_links(fps, k))
-    return _merged(now, links(now, k))
+    with scratch(fps.sparkSession) as keep:
+        now = _merged(fps.select("fp", F.col("fp").alias("root")), star_links(fps, k), keep)
+        return _merged(now, links(now, k), keep)
 
 
 #: Texts looked at for shingles that many share, and in how many of these one must be for it.
@@ -168,8 +169,12 @@ COMMON = 4
 SKETCH = 16
 #: Rows of a hash that more than FEW texts have carry sketches, so that only texts that may be similar leave their join.
 FEW = 8
-#: Where there are more pairs over such hashes than PAIRS for each row, rows meet hubs first, in so many rounds at most.
+#: Rows meet hubs in one round at least, and in so many at most while there are more pairs over such hashes than PAIRS for each row.
 PAIRS, ROUNDS = 1, 4
+#: Hubs of a hash are dealt anew by so many classes of hashes: a text meets that many of its group, by one row for each of its hashes.
+HUBS = 8
+#: Least hashes of a text by which its pairs leave a join COMMON times, not for each hash that they share.
+FIRST = 12
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
@@ -252,46 +257,78 @@ def _near(jaccard: float) -> Column:
     return F.expr(apart) <= (F.col("n") + F.col("rn")) * ((1 - jaccard) / (1 + jaccard)) + 1e-9
 
 
-def _sketched(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """rows with the sketch of doc in columns s0, s1, ..."""
-    return rows.join(sketches, "doc").select(*rows.columns, *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+def _sketched(rows: DataFrame, sketches: DataFrame, *more: str) -> DataFrame:
+    """rows with the sketch of doc in columns s0, s1, ..., and more of sketches."""
+    return rows.join(sketches, "doc").select(*rows.columns, *more, *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
 
 
-def similar_links(docs: DataFrame, shared: DataFrame, groups: DataFrame, sketches: DataFrame, jaccard: float, text: str = "text", shingle: int = 5) -> DataFrame:
-    """groups (fp, root) once all sets of exact Jaccard similarity jaccard or more are connected; shared is sharing of their sets, sketches their (doc, sketch).
+def _pairs_of_many(many: DataFrame, sketches: DataFrame, jaccard: float) -> DataFrame:
+    """(doc, root, n, rdoc, rroot, rn): pairs of texts of many (gram, doc, n, root) that share a gram, are of different roots and may be similar by their sketches.
+
+    A pair gives a row for each of the COMMON least grams that both have, and for
+    another one only where fewer than COMMON below it are among the FIRST of both texts.
+    """
+    first = many.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list("gram")), 1, FIRST).alias("first"))
+    own = written(sketches.join(first, "doc").select("doc", "sketch", "first"), "first")
+    rows = _sketched(many, own, "first")
+    before = F.coalesce(F.get(F.sort_array(F.array_intersect("first", "rfirst")), F.lit(COMMON - 1)) < F.col("gram"), F.lit(False))
+    met = (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & _lengths(jaccard) & _near(jaccard) & ~before
+    return rows.hint("merge").join(_other(rows), met).select("doc", "root", "n", "rdoc", "rroot", "rn")
+
+
+def _pairs_with_hubs(many: DataFrame, k: int, jaccard: float) -> DataFrame:
+    """(doc, root, n, rdoc, rroot, rn): texts of many (gram, doc, n, root) with hubs that share a gram, in round k.
+
+    The text with the fewest hashes of its own lies in the middle of its group:
+    texts that are similar to another of it mostly are to this one. The other
+    hub is any of those with the gram, the same one for grams of a class.
+    """
+    own = many.groupBy("doc").agg((-F.count("*") / F.max("n")).alias("own"))
+    kind = F.pmod("gram", F.lit(HUBS))
+    middle, any_one = (F.struct(*first, F.xxhash64("doc", F.lit(k), of).alias("h"), "doc", "n", "root") for first, of in (([F.col("own")], F.lit(0)), ([], kind)))
+    ends = many.join(own, "doc").groupBy("gram").agg(F.min(middle).alias("x"), F.min(any_one).alias("y"))
+    both = F.array_distinct(F.array(*[F.struct(*[F.col(f"{e}.{c}").alias(c) for c in ("doc", "n", "root")]) for e in ("x", "y")]))
+    ends = ends.select("gram", F.explode(both).alias("e")).select("gram", "e.doc", "e.n", "e.root")
+    met = (F.col("gram") == F.col("rgram")) & (F.col("root") != F.col("rroot")) & _lengths(jaccard)
+    return many.hint("merge").join(_other(ends), met).select("doc", "root", "n", "rdoc", "rroot", "rn")
+
+
+def similar_groups(docs: DataFrame, shared: DataFrame, fps: DataFrame, sketches: DataFrame, bits: int, jaccard: float, text: str = "text", shingle: int = 5) -> DataFrame:
+    """(fp, root): grouped by fingerprints (see there), and with all sets of exact Jaccard similarity jaccard or more connected; shared is sharing of their sets, sketches their (doc, sketch).
 
     Every two texts of different groups that share COMMON hashes of their prefixes are
     compared. Pairs over hashes that few texts have grow with these rows. Over
     others they grow with the square of a group's size, so they are told apart inside the
-    join, by sketches that never part similar sets. Where they would be many,
-    texts are first compared with two that share a hash, one of them from the middle of its group, which brings most of a group of similar
+    join, by sketches that never part similar sets. Before, texts are
+    compared with hubs that share a hash, which brings most of a group of similar
     texts together by a few rows for each text; pairs within a group never come up.
     """
-    now, last = groups, math.inf
+    now, last = fps.select("fp", F.col("fp").alias("root")), math.inf
+    of = ["doc", "root", "n", "rdoc", "rroot", "rn"]
     for k in range(ROUNDS + 1):
-        rows = written(shared.join(now, "fp").select("gram", "doc", "n", "root"), "sharing")
-        mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).filter("low < high").select("gram", "c")
-        rows = written(rows.join(mixed, "gram"), "mixed")
-        n, pairs = rows.agg(F.count("*"), F.sum(F.when(F.col("c") > FEW, F.col("c") - 1).otherwise(0)) / 2).first()
-        if not n:
-            return now
-        # hubs are of no more use once most pairs are of texts apart
-        exact = k == ROUNDS or pairs <= PAIRS * n or pairs > last / 2
-        last = pairs
-        few, many = (rows.filter(f"c {than} {FEW}").drop("c") for than in ("<=", ">"))
-        if exact:
-            many = _sketched(many, sketches)
-            parts = [x.hint("merge").join(_other(x), (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & _lengths(jaccard) & more) for x, more in ((few, F.lit(True)), (many, _near(jaccard)))]
-            met = parts[0].select("doc", "root", "n", "rdoc", "rroot", "rn").union(parts[1].select("doc", "root", "n", "rdoc", "rroot", "rn"))
-        else:
-            # the text with the fewest hashes of its own lies in the middle of its group: texts that are similar to another of it mostly are to this one
-            own = many.groupBy("doc").agg((-F.count("*") / F.max("n")).alias("own"))
-            middle, any_one = (F.struct(*first, F.xxhash64("doc", F.lit(k)).alias("h"), "doc", "n", "root") for first in (["own"], [F.lit(0.0).alias("own")]))
-            ends = many.join(own, "doc").groupBy("gram").agg(F.array(F.min(middle), F.min(any_one)).alias("ends")).select("gram", F.explode(F.array_distinct(F.transform("ends", lambda e: F.struct(e["doc"].alias("doc"), e["n"].alias("n"), e["root"].alias("root"))))).alias("e")).select("gram", "e.doc", "e.n", "e.root")
-            met = many.hint("merge").join(_other(ends), (F.col("gram") == F.col("rgram")) & (F.col("root") != F.col("rroot")) & _lengths(jaccard))
-        least = F.least(F.lit(COMMON), F.ceil(F.max(F.greatest("n", "rn")) * jaccard - 1e-9)) if exact else F.lit(1)
-        found = met.groupBy("doc", "root", "n", "rdoc", "rroot", "rn").agg(F.count("*").alias("c"), least.alias("least")).filter("c >= least").drop("c", "least")
-        now = _merged(now, _similar(docs, found, sketches, jaccard, text, shingle))
+        with scratch(fps.sparkSession) as keep:
+            rows = written(shared.join(now, "fp").select("gram", "doc", "n", "root"), "sharing")
+            mixed = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).filter("low < high").select("gram", "c")
+            rows = written(rows.join(mixed, "gram"), "mixed")
+            n, pairs = rows.agg(F.count("*"), F.sum(F.when(F.col("c") > FEW, F.col("c") - 1).otherwise(0)) / 2).first()
+            # hubs are of no more use once most pairs are of texts apart
+            exact = k > 0 and (not n or k == ROUNDS or pairs <= PAIRS * n or pairs > last / 2)
+            last = pairs
+            few, many = (rows.filter(f"c {than} {FEW}").drop("c") for than in ("<=", ">"))
+            if exact:
+                edges = links(now, bits)
+                if n:
+                    met = few.hint("merge").join(_other(few), (F.col("gram") == F.col("rgram")) & (F.col("root") < F.col("rroot")) & _lengths(jaccard))
+                    least = F.least(F.lit(COMMON), F.ceil(F.max(F.greatest("n", "rn")) * jaccard - 1e-9))
+                    met = met.select(*of).union(_pairs_of_many(many, sketches, jaccard))
+                    found = met.groupBy(*of).agg(F.count("*").alias("c"), least.alias("least")).filter("c >= least").select(*of)
+                    edges = edges.union(_similar(docs, found, sketches, jaccard, text, shingle))
+            else:
+                edges = star_links(fps, bits) if k == 0 else None
+                if n:
+                    similar = _similar(docs, _pairs_with_hubs(many, k, jaccard).distinct(), sketches, jaccard, text, shingle)
+                    edges = edges.union(similar) if edges is not None else similar
+            now = _merged(now, edges, keep)
         if exact:
             return now
     return now
@@ -335,10 +372,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     sets = written(shingle_sets(docs, key, text, shingle, jaccard), "sets")
     made = sets.select("key", "sha", "fp")
     nodes = written(made.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    now = grouped(nodes.select("fp"), k)
     shared = written(sharing(sets), "shared")
     sketches = written(sets.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "sketch").distinct(), "sketches")
-    now = similar_links(docs, shared, now, sketches, jaccard, text, shingle)
+    now = similar_groups(docs, shared, nodes.select("fp"), sketches, k, jaccard, text, shingle)
     return _answers(made, nodes, now, key, "group", "sha")
 
 

@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from blkscope.llm import simhash as S
@@ -131,3 +134,27 @@ def test_sketches_never_part_similar_sets():
             b = np.unique(np.concatenate([a[change:], rnd.integers(-(2**63), 2**63, change)]))
             differ = len(np.setxor1d(a, b))
             assert sum(int(x).bit_count() for x in (S.parities(np.unique(a)) ^ S.parities(b)).view(np.uint64)) <= differ
+
+
+def test_a_pair_leaves_the_join_a_few_times(spark):
+    """Texts that share most of their hashes: every similar pair comes out, not once for each hash."""
+    rnd, words = random.Random(8), [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(w if rnd.random() > 0.01 else f"x{k}" for w in words)) for k in range(30)]
+    sets = S.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), shingle=C.SHINGLE, jaccard=C.JACCARD).cache()
+    key = {r.doc: r.key for r in sets.collect()}
+    many = S.sharing(sets).select("gram", "doc", "n", F.col("doc").alias("root"))
+    shares = Counter(r.gram for r in many.collect())
+    met = Counter(frozenset((key[r.doc], key[r.rdoc])) for r in S._pairs_of_many(many, sets.select("doc", "sketch"), C.JACCARD).collect())
+    assert {frozenset(p) for p in similar(rows)} <= met.keys()
+    assert sum(met.values()) < 2 * S.COMMON * len(met) < sum(n * (n - 1) / 2 for n in shares.values()) / 4
+
+
+def test_few_stages(spark):
+    """Each stage costs tasks, log and small files on many partitions, so a run has a bounded number of them."""
+    spark.sparkContext.setJobGroup("near", "near")
+    got(spark.createDataFrame(apart(6, 60), "doc_id long, text string"))
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("near") for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    print("stages", len(stages))
+    assert 0 < len(stages) <= 190
