@@ -157,4 +157,4 @@ def test_few_stages(spark):
     stages = {s for j in tracker.getJobIdsForGroup("near") for s in tracker.getJobInfo(j).stageIds if (i := tracker.getStageInfo(s)) and i.numCompletedTasks}
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     print("stages", len(stages))
-    assert 0 < len(stages) <= 190
+    assert 0 < len(stages) <= 125
