@@ -1,9 +1,9 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Documents are dealt into blocks. Each block's distinct words go to the shards
-of one distinct-word table, where every word is encoded once; the ids come back
-to the block and are put in the places of the words. The pieces of the ids that
-a block has come from a join with the vocabulary.
+of one distinct-word table, where every word is encoded once. The pieces of the
+ids that a shard has come from a join with the vocabulary. Ids and decoded words
+come back to the block and are put in the places of the words.
 
 Serves tokenizer files whose pre-tokens are encoded independently of each other
 (a normaliser, a splitting pattern, byte-level pieces, no post-processor).
@@ -143,28 +143,31 @@ def block_words(dealt_docs: DataFrame, tokenizer: str, shards: int) -> DataFrame
     return dealt_docs.groupBy("block").applyInArrow(run, "block int, shard int, words binary")
 
 
-def encoded_words(lists: DataFrame, tokenizer: str, partitions: int) -> DataFrame:
-    """(block, words, counts, ids, distinct): each list with its words' numbers of ids and ids. A shard's words are encoded once, whatever the number of lists they are in."""
+def encoded_words(lists: DataFrame, tokenizer: str) -> DataFrame:
+    """(shard, words, counts, ids, distinct): each shard's words, in some rows, with their numbers of ids and ids. A word is encoded once, whatever the number of lists it is in.
+
+    lists has the rows of a shard in one partition.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, now, known = words_of(tokenizer), None, {}
+        words, now, known = words_of(tokenizer), None, set()
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for block, shard, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, shard, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard != now:
-                    now, known = shard, {}
-                own = _unzip(packed).decode().split("\n")
-                new = [w for w in own if w not in known]
-                known.update(zip(new, words.encode(new)))
-                ids = [known[w] for w in own]
+                    now, known = shard, set()
+                new = [w for w in _unzip(packed).decode().split("\n") if w not in known]
+                if not new:
+                    continue
+                known.update(new)
+                ids = words.encode(new)
                 counts = np.fromiter((len(x) // 4 for x in ids), dtype="<u4", count=len(ids))
                 ids = np.frombuffer(b"".join(ids), dtype="<i4")
-                for column, value in zip(out, (block, packed, _zip(counts.tobytes()), _zip(ids.tobytes()), np.unique(ids))):
+                for column, value in zip(out, (shard, _zip("\n".join(new).encode()), _zip(counts.tobytes()), _zip(ids.tobytes()), np.unique(ids))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())))], names=["block", "words", "counts", "ids", "distinct"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())))], names=["shard", "words", "counts", "ids", "distinct"])
 
-    by_shard = lists.repartition(partitions, "shard").sortWithinPartitions("shard")
-    return by_shard.select("block", "shard", "words").mapInArrow(run, "block int, words binary, counts binary, ids binary, distinct array<int>")
+    return lists.sortWithinPartitions("shard").mapInArrow(run, "shard int, words binary, counts binary, ids binary, distinct array<int>")
 
 
 def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -172,34 +175,22 @@ def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
     return spark.createDataFrame(sorted(words_of(tokenizer).pieces.items()), "id int, piece string")
 
 
-def pieces_by_block(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(block, pieces): the pieces of the ids that each block has, by a join on the id.
+def pieces_by_shard(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(shard, pieces): the pieces of the ids that each shard's words have, by a join on the id: one row at most for each shard and id, whatever the number of blocks.
 
-    It reads all columns of encoded, as what puts the ids in their places does:
+    It reads all columns of encoded, as what puts ids and pieces together does:
     so both read one exchange, and words are encoded once.
     """
     whole = F.length("words") + F.length("counts") + F.length("ids") > 0
-    ids = encoded.select("block", F.explode(F.when(whole, F.col("distinct"))).alias("id")).distinct()
-    return ids.join(F.broadcast(vocab), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
-
+    ids = encoded.select("shard", F.explode(F.when(whole, F.col("distinct"))).alias("id")).distinct()
+    return ids.join(F.broadcast(vocab), "id").groupBy("shard").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
-def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs: key, ids (array<int>), decoded.
 
-    ids are those of the tokenizers library without special tokens added (their
-    strings in a text become special tokens, as there); decoded is the text of
-    its decode() of these ids. Null and empty texts: no ids, empty text.
-    """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = count_blocks(docs, text, block_bytes)
-    mine = dealt(docs, blocks, str.encode, key, text)
-    lists = block_words(mine, tokenizer, max(12, 4 * math.isqrt(blocks)))
-    encoded = encoded_words(lists, tokenizer, partitions).repartition(partitions, "block")
-    pieces = pieces_by_block(encoded, vocabulary(spark, tokenizer))
+def decoded_lists(lists: DataFrame, encoded: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(block, words, counts, ids, texts): each list with its words' numbers of ids, ids and decoded texts."""
     none = F.lit(None).cast("binary")
     known = encoded.select("*", F.lit(None).cast("array<struct<id:int,piece:string>>").alias("pieces")).unionByName(
-        pieces.select("block", none.alias("words"), none.alias("counts"), none.alias("ids"), F.lit(None).cast("array<int>").alias("distinct"), "pieces")
+        pieces.select("shard", none.alias("words"), none.alias("counts"), none.alias("ids"), F.lit(None).cast("array<int>").alias("distinct"), "pieces")
     )
 
     def run(own: pa.Table, table: pa.Table) -> pa.Table:
@@ -219,6 +210,43 @@ def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: st
             for w, b in zip(_unzip(packed.as_py()).decode().split("\n"), stops):
                 ids_of[w], text_of_word[w] = raw[4 * a : 4 * b], " ".join(names[a:b])
                 a = b
+        made: list[list[bytes]] = [[] for _ in range(3)]
+        for packed in own.column("words"):
+            words = _unzip(packed.as_py()).decode().split("\n")
+            ids = [ids_of[w] for w in words]
+            counts = np.fromiter((len(x) // 4 for x in ids), dtype="<u4", count=len(ids))
+            for column, value in zip(made, (counts.tobytes(), b"".join(ids), "\n".join([text_of_word[w] for w in words]).encode())):
+                column.append(_zip(value))
+        return pa.table({"block": own.column("block"), "words": own.column("words")} | {n: pa.array(c, pa.binary()) for n, c in zip(("counts", "ids", "texts"), made)})
+
+    return lists.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "block int, words binary, counts binary, ids binary, texts binary")
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs: key, ids (array<int>), decoded.
+
+    ids are those of the tokenizers library without special tokens added (their
+    strings in a text become special tokens, as there); decoded is the text of
+    its decode() of these ids. Null and empty texts: no ids, empty text.
+    """
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = count_blocks(docs, text, block_bytes)
+    mine = dealt(docs, blocks, str.encode, key, text)
+    lists = block_words(mine, tokenizer, max(12, 4 * math.isqrt(blocks))).repartition(partitions, "shard")
+    encoded = encoded_words(lists, tokenizer).repartition(partitions, "shard")
+    known = decoded_lists(lists, encoded, pieces_by_shard(encoded, vocabulary(spark, tokenizer))).repartition(partitions, "block")
+
+    def run(own: pa.Table, table: pa.Table) -> pa.Table:
+        ids_of: dict[str, bytes] = {}
+        text_of_word: dict[str, str] = {}
+        for packed, counts, ids, texts in zip(*(table.column(c) for c in ("words", "counts", "ids", "texts"))):
+            stops = np.cumsum(np.frombuffer(_unzip(counts.as_py()), dtype="<u4")).tolist()
+            raw = _unzip(ids.as_py())
+            a = 0
+            for w, t, b in zip(_unzip(packed.as_py()).decode().split("\n"), _unzip(texts.as_py()).decode().split("\n"), stops):
+                ids_of[w], text_of_word[w] = raw[4 * a : 4 * b], t
+                a = b
         splitter = words_of(tokenizer)
         unit_ids: dict[str, bytes] = {}
         unit_text: dict[str, str] = {}

@@ -30,3 +30,25 @@ def test_a_word_has_one_shard_and_is_listed_once_a_block(documents):
         assert own == sorted(set(own))
         for w in own:
             assert homes.setdefault(w, shard) == shard
+
+
+def rows_of_joins(node) -> int:
+    """What the joins below a node of a plan that has run gave, each counted once."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return rows_of_joins(node.executedPlan())
+    if name.endswith("QueryStage"):
+        return rows_of_joins(node.plan())
+    below = [] if name == "ReusedExchange" else [node.children().apply(k) for k in range(node.children().size())]
+    return sum(map(rows_of_joins, below)) + ("Join" in name and node.metrics().apply("numOutputRows").value())
+
+
+def test_the_join_with_the_vocabulary_follows_the_words_not_the_blocks(documents):
+    size = sum(len((r.text or "").encode()) for r in documents.collect())
+    got = []
+    for blocks in (4, 15):  # 12 shards for either
+        made = bpe.encode_decode(documents, PATH, block_bytes=-(-size // blocks))
+        rows = sorted((r.doc_id, list(r.ids), r.decoded) for r in made.collect())
+        got.append((rows, rows_of_joins(made._jdf.queryExecution().executedPlan())))
+    assert got[0] == got[1]
+    assert got[0][1] > 0
