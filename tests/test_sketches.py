@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from blkscope.operators import sketches, stats
+from blkscope.operators import order, sketches, stats
 from blkscope.schema import TABLES
-from blkscope.sources import store
+from blkscope.sources import store, temp
 
 
 def table(spark, seed, n):
@@ -71,3 +71,40 @@ def test_derived_rows_are_written_once(spark, monkeypatch):
     df = spark.range(50).select(F.lit("t").alias("trace"), F.lit("k").alias("key"), F.sum("id").over(Window.orderBy("id")).cast("double").alias("value"))
     stats.summarised(df, "trace", "key").collect()
     assert seen[0] == ["trace", "key", "value"]
+
+
+def joined(monkeypatch, module):
+    """The physical plans of what a module writes from now on."""
+    plans = []
+    monkeypatch.setattr(module, "materialised", lambda df, plain=module.materialised: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    return plans
+
+
+def test_rows_are_never_sent_to_the_spans(spark, monkeypatch):
+    """Millions of rows can be a file of a few MB, which Spark would send through the driver to the spans and slices of a few groups."""
+    plans = joined(monkeypatch, stats)
+    df = spark.range(200_000).select(F.lit("t").alias("trace"), (F.col("id") % 3).cast("string").alias("key"), (F.col("id") % 7).cast("double").alias("value")).distinct().crossJoin(spark.range(10_000).select("id")).drop("id")
+    summary = stats.summarised(df, "trace", "key")
+    plans.append(summary._jdf.queryExecution().executedPlan().toString())
+    assert sum("BuildRight" in p for p in plans) >= 2 and not any("BuildLeft" in p for p in plans), plans
+    assert {(r["key"], r["n"], r["p"][0]) for r in summary.collect()} == {("0", 70_000, 3.0), ("1", 70_000, 3.0), ("2", 70_000, 3.0)}
+
+
+@pytest.mark.parametrize("few", [0, 2, 10_000])
+def test_many_groups_are_merged_with_the_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(temp, "FEW_ROWS", few)
+    plans = joined(monkeypatch, stats)
+    rnd = random.Random(6)
+    df = spark.createDataFrame([("t", rnd.choice(["a", "b", None]), rnd.choice([None, 0.0, rnd.gauss(0, 1)])) for _ in range(3000)], "trace string, key string, value double")
+    got = {r["key"]: (r["n"], r["p"]) for r in stats.summarised(df, "trace", "key").collect()}
+    assert got == {r["key"]: (r["n"], r["p"]) for r in df.groupBy("key").agg(F.count("value").alias("n"), F.percentile("value", stats.RANKS).alias("p")).collect()}
+    assert any("SortMergeJoin" in p for p in plans) == (few < 10_000) and any("BroadcastHashJoin" in p for p in plans) == (few == 10_000)
+
+
+def test_rows_are_never_sent_to_the_ends_of_slices(spark, monkeypatch):
+    """Traces of one name meet the ends without a key, and Spark would send what is small on disk."""
+    plans = joined(monkeypatch, order)
+    keyed = spark.range(1000).select(F.lit("t").alias("trace"), F.col("id").alias("seq"), F.col("id").cast("double").alias("__key"))
+    rows, single = order.sliced(keyed, 100)
+    assert not single and rows.count() == 1000 and 10 <= rows.select("__bucket").distinct().count() <= 11
+    assert "BuildRight" in plans[0] and "BuildLeft" not in plans[0], plans[0]
